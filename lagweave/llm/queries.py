@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepieces, tokens
+from . import sentencepieces, simhash, tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,6 +20,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.piece_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_BPE)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE)
@@ -32,6 +37,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_simhash": op5_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
 }
