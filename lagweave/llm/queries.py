@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepieces, simhash, tokens
+from . import quality, sentencepieces, simhash, tokens, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +25,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE)
@@ -35,9 +40,16 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(tokens.write_token_files(table(spark, sf_dir, "documents"), BYTE_BPE))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, rejected of every document."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op5_simhash": op5_simhash,
+    "op7_quality": op7_quality,
+    "op10_toxicity": op10_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
 }
