@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sentencepieces, simhash, tokens, toxicity
+from . import bitslices, media, quality, sentencepieces, simhash, tokens, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,6 +20,16 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.piece_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_BPE)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sizes, digests and feature of every document's image."""
+    return media.media_table(table(spark, sf_dir, "documents"))
+
+
+def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 best of all rows for each row whose id is divisible by 20."""
+    return bitslices.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -47,11 +57,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_media": op4_media,
     "op5_simhash": op5_simhash,
+    "op6_bit_sliced_top_k": op6_bit_sliced_top_k,
     "op7_quality": op7_quality,
     "op10_toxicity": op10_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_bit_sliced_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20
+    """,
+}
