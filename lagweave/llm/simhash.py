@@ -125,9 +125,9 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none], names=["a", "b", "key", "block"])
 
 
-def _later(key: int, f: np.ndarray, at: int) -> pa.RecordBatch:
+def _later(key: int, f: np.ndarray, at: int, tile: int) -> pa.RecordBatch:
     keys = pa.array(np.full(len(f), key, np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.nulls(len(f), pa.int64()), keys, pa.array((at + np.arange(len(f))) // TILE)], names=["a", "b", "key", "block"])
+    return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.nulls(len(f), pa.int64()), keys, pa.array((at + np.arange(len(f))) // tile)], names=["a", "b", "key", "block"])
 
 
 _SCHEMA = "a long, b long, key long, block long"
@@ -182,11 +182,11 @@ def _follow(batches: Iterator[pa.RecordBatch], own: int, before: int, most: int)
     return np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
 
-def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
+def links(nodes: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fp`` that connect all that differ in ``bits`` bits or fewer.
 
     Postings of up to 32 rows give all their links, longer ones a spanning forest of theirs; one over
-    TILE rows is cut into blocks, and every two blocks are a task's group.
+    ``tile`` rows is cut into blocks, and every two blocks are a task's group.
     """
     if not 0 <= bits < BYTES - 1:
         raise ValueError("bits must be from 0 to 6")
@@ -203,9 +203,9 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, f, part in _groups(batches, TILE):
+        for key, f, part in _groups(batches, tile):
             if part:
-                yield _later(int(key[0]), f, part - 1)
+                yield _later(int(key[0]), f, part - 1, tile)
                 continue
             change = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[change, len(key)])
@@ -215,14 +215,14 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
                 yield _edges(a, b)
             for at, n_rows in zip(change[size > 32], size[size > 32], strict=True):
                 group = f[at : at + n_rows]
-                if n_rows > TILE:
-                    yield _later(int(key[at]), group, 0)
+                if n_rows > tile:
+                    yield _later(int(key[at]), group, 0, tile)
                 else:
                     for a, b in _forest(group, bits):
                         yield _edges(a, b)
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, f, part in _groups(batches, 2 * TILE):
+        for key, f, part in _groups(batches, 2 * tile):
             if part:
                 raise ValueError("a pair of blocks has more rows than two blocks")
             change = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
