@@ -40,7 +40,7 @@ def drop_staged(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of Arrow batches whose ``text`` column holds about ``most_bytes`` at most (one row at least), with its values."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))

@@ -12,6 +12,7 @@ import json
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import regex
@@ -47,10 +48,11 @@ class ChunkTable:
     """Bounded tables of the values of chunks and of their pre-tokens, which stay in a worker from task to task.
 
     ``compute`` gets a list of new pre-tokens and returns their values; a chunk's value is the sum of
-    its pre-tokens'. When a table is full, it starts again from what the present texts need.
+    its pre-tokens'. A table that is full goes on with its older half and what the present texts need:
+    frequent chunks come early.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], most_chunks: int = 600_000, most_tokens: int = 1_000_000):
+    def __init__(self, compute: Callable[[list[str]], list], most_chunks: int = 400_000, most_tokens: int = 600_000):
         self.known: dict[str, object] = {}
         self.tokens: dict[str, object] = {}
         self.compute, self.most_chunks, self.most_tokens = compute, most_chunks, most_tokens
@@ -72,9 +74,10 @@ class ChunkTable:
             new.update(parts[1:])
         new = new.difference(self.known)
         if len(self.known) + len(new) > self.most_chunks:
+            self.known = dict(islice(self.known.items(), self.most_chunks // 2))
             for parts in lists:
                 new.update(parts[1:])
-            self.known.clear()
+            new = new.difference(self.known)
         fresh = list(new)
         split = list(map(self.split, fresh))
         self.known.update(zip(fresh, map(self.joined, split, self.values(split)), strict=True))
@@ -83,8 +86,8 @@ class ChunkTable:
     def values(self, split: list[list[str]]) -> Iterator[list]:
         unknown = set().union(*split).difference(self.tokens)
         if len(self.tokens) + len(unknown) > self.most_tokens:
-            self.tokens.clear()
-            unknown = set().union(*split)
+            self.tokens = dict(islice(self.tokens.items(), self.most_tokens // 2))
+            unknown = set().union(*split).difference(self.tokens)
         unknown = list(unknown)
         self.tokens.update(zip(unknown, self.compute(unknown), strict=True))
         get = self.tokens.__getitem__
