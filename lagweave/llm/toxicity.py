@@ -35,7 +35,7 @@ def bucket_of(word: str) -> int:
 class WordRows:
     """Rows of an embedding for words; row 0 is of buckets that weren't learnt. The table of words is bounded."""
 
-    def __init__(self, buckets: np.ndarray, most: int = 500_000):
+    def __init__(self, buckets: np.ndarray, most: int = 150_000):
         self.row_of = {int(b): k + 1 for k, b in enumerate(buckets)}
         self.known: dict[str, int] = {}
         self.most = most
@@ -73,7 +73,7 @@ class ToxicModel:
     def __getstate__(self):
         return self.__dict__ | {"_rows": None}
 
-    def logits(self, documents: list[list[int]]) -> np.ndarray:
+    def logits(self, documents: list) -> np.ndarray:
         """The network's output: filters over words, the largest response of each in the document, a dense layer."""
         if not documents:
             return np.zeros(0)
@@ -127,6 +127,14 @@ def pooled(index: np.ndarray, starts: np.ndarray, embedding: np.ndarray, filters
     return np.concatenate(out, axis=1)
 
 
+def rows_of(buckets: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """Embedding rows of a document's buckets; 0 for those that weren't learnt."""
+    if not len(buckets):
+        return np.zeros(len(document), np.int32)
+    at = np.minimum(np.searchsorted(buckets, document), len(buckets) - 1)
+    return np.where(buckets[at] == document, at + 1, 0).astype(np.int32)
+
+
 def surprise(positive: np.ndarray, total: np.ndarray, share: float) -> np.ndarray:
     """How far, in nats, a word's share of positive documents is above the common one: total * KL; 0 below it."""
     p = np.clip(positive / np.maximum(total, 1), 1e-12, 1 - 1e-12)
@@ -163,7 +171,7 @@ def train(documents: list[np.ndarray], y: np.ndarray, most_buckets: int = 8_192,
     dense[np.concatenate([np.arange(FILTERS) >= FILTERS // 2] * len(WIDTHS))] = 0.0
     values = [embedding, *filters, dense, bias]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
-    rows = [np.where(d >= 0, (k := np.minimum(np.searchsorted(buckets, d), max(len(buckets) - 1, 0))) * 0 + np.where(len(buckets) and buckets[k] == d, k + 1, 0), 0) if len(buckets) else np.zeros(len(d), np.int64) for d in documents]
+    rows = [rows_of(buckets, d) for d in documents]
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -233,8 +241,7 @@ def fit_network(documents: list[np.ndarray], y: np.ndarray, languages: list[str
     fold, out = np.arange(len(y)) % folds, np.zeros(len(y))
     for k in range(folds):
         part = train([d for d, f in zip(documents, fold, strict=True) if f != k], y[fold != k])
-        rows = WordRows(part.buckets)
-        out[fold == k] = part.logits([[rows.row_of.get(b, 0) for b in d.tolist()] for d, f in zip(documents, fold, strict=True) if f == k])
+        out[fold == k] = part.logits([rows_of(part.buckets, d) for d, f in zip(documents, fold, strict=True) if f == k])
     model = train(documents, y)
     model.slope, model.intercept = platt(out, y)
     model.thresholds = calibrated(sigmoid(model.slope * out + model.intercept), y, languages)
@@ -255,8 +262,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
         return {"x": pa.array([None if len(w) > most_words else [bucket_of(x) for x in w] for w in words], pa.list_(pa.int32()))}
 
     made = arrow_map(rows, "_text", ["_id", "y", "_lang"], work, "x array<int>").filter("x IS NOT NULL")
-    found = made.groupBy("_id").agg(F.max("y").alias("y"), F.min(F.struct("_lang", "x")).alias("v")).select("_id", "y", "v.*").toPandas().sort_values("_id")
-    return fit_network([np.asarray(x, np.int64) for x in found["x"]], found["y"].to_numpy(np.int64), found["_lang"].to_list())
+    found = made.groupBy("_id").agg(F.max("y").alias("y"), F.min(F.struct("_lang", "x")).alias("v")).select("_id", "y", "v.*").toArrow().sort_by("_id")
+    words = found["x"].combine_chunks()
+    values, ends = words.values.to_numpy(), words.offsets.to_numpy()
+    return fit_network([values[p:q] for p, q in zip(ends[:-1], ends[1:], strict=True)], found["y"].to_numpy().astype(np.int64), found["_lang"].to_pylist())
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", columns: list[str] | None = None, threshold: float = THRESHOLD, lang: str = "lang") -> DataFrame:
