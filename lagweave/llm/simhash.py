@@ -261,12 +261,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest document id; of repeated rows, one.
+    """``docs`` with one row of each component: that of the smallest document id; of repeated rows, one."""
+    return one_of_each(docs, near_duplicates(docs, doc_id, text, words, bits), doc_id, text)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of ``found`` (doc_id, text_hash, component_id, group): that of the component's id.
 
     Only the chosen rows' keys (id and text hash) are joined to the documents; rows whose key occurs
     more than once, as repeated rows do, are told apart by all that a component can hold of them.
     """
-    found = near_duplicates(docs, doc_id, text, words, bits)
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("text_hash").alias("_hash"), F.min("doc_id").alias("_id"))
     twice = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_rows"))
     keys = chosen.join(twice, chosen["_hash"].eqNullSafe(twice["_hash"]) & chosen["_id"].eqNullSafe(twice["_id"])).select(chosen["_id"], chosen["_hash"], "_rows")
