@@ -144,3 +144,17 @@ def roots(links: DataFrame, rounds: int = 64) -> DataFrame:
         after = after.checkpoint()
         now = after
     return now
+
+
+def depths(links: DataFrame) -> DataFrame:
+    """t, depth: how many links each target's chain of sources has (links: t, s with s < t, one a target).
+
+    Pointers jump as in ``roots``, and carry how far they have come.
+    """
+    now = links.select("t", F.col("s").alias("root"), F.lit(1).cast("long").alias("depth")).checkpoint()
+    while True:
+        onward = now.select(F.col("t").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        moved = now.join(onward, "root", "left").select("t", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "next").checkpoint()
+        if moved.filter("next IS NOT NULL").isEmpty():
+            return now.select("t", "depth")
+        now = moved.drop("next")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions.kernels import BANDWIDTH_HZ, OFFSET_DB
 from ..operators.signals import by_user, div, fingerprints, halo, mono, near, owned, stereo, table
-from ..operators.similarity import squared_distance
+from ..operators.similarity import depths, squared_distance
 from ..sources.shared import ready
 from .registry import query
 from .search import _KNN, candidates
@@ -138,6 +138,13 @@ def pl_13_depth(spark, d):
         known = known.unionByName(front.select("t", F.lit(depth).cast("long").alias("depth")))
 
 
+@query()
+def pl_13_depth_all(spark, d):
+    """How long each frame's chain of references is, over all frames' links; pl_13_depth has every third frame's only."""
+    ready(spark)
+    return depths(candidates(spark, d, 1).select("t", "s"))
+
+
 @query("SELECT n // 64 AS f, n % 8 AS region, round(10 * log10((sum(CAST(l * l AS DOUBLE)) + 1) / (sum(CAST((l - r) * (l - r) AS DOUBLE)) + 1)), 6) AS gain FROM sig2 GROUP BY ALL", "sig2")
 def pl_14_prediction_gain(spark, d):
     left, e = F.col("l"), F.col("l") - F.col("r")
