@@ -1,25 +1,33 @@
-"""What the training-data operators share: the shared folder, staged tables and Arrow maps."""
+"""What the training-data operators share: the shared folder, staged tables, Arrow maps and what a worker keeps."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Bytes of input that an explicitly dealt partition should have.
+PARTITION_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's shared folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset, as in local
-    tests, one on this machine is made and set.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset a local session, as
+    in tests, gets one on this machine; on a cluster that is an error, as executors share no disk.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lagweave-")
         spark.conf.set(CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -40,29 +48,80 @@ def drop_staged(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of Arrow batches whose ``text`` column holds about ``most_bytes`` at most (one row at least), with its values."""
+def col(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(prefix: str, *taken: str) -> str:
+    """``prefix``, lengthened until no name in ``taken`` is like it."""
+    lower = {t.lower() for t in taken}
+    while prefix.lower() in lower:
+        prefix += "_"
+    return prefix
+
+
+def partitions(df: DataFrame, each: int = PARTITION_BYTES) -> int:
+    """Partitions for an explicit deal of ``df``: those of the session, or more where its plan's size asks for them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // each)) if size < 1 << 50 else least  # what has no statistics counts as endless
+
+
+_kept: dict = {}
+
+
+def kept(name: tuple, make: Callable[[], object]):
+    """What ``make`` gives, kept by a worker from task to task; asking for another name drops what was kept before."""
+    if name not in _kept:
+        _kept.clear()
+        release()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that waits for tasks holds only what it keeps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other systems' libraries do without it
+        return
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000_000, arrow: bool = False) -> Iterator[tuple[pa.RecordBatch, list | pa.Array]]:
+    """Slices of Arrow batches whose ``text`` column holds about ``most_bytes`` at most (one row at least), with its values as a list or, if ``arrow``, as they are."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         step = batch.num_rows if column.nbytes <= most_bytes else max(1, batch.num_rows * most_bytes // column.nbytes)
         for at in range(0, batch.num_rows, max(step, 1)):
             part = batch.slice(at, step)
-            yield part, part.column(part.schema.get_field_index(text)).to_pylist()
+            found = part.column(part.schema.get_field_index(text))
+            yield part, found if arrow else found.to_pylist()
 
 
-def arrow_map(df: DataFrame, text: str, row_columns: list[str], work: Callable[[list], dict], schema: str, setup: Callable | None = None) -> DataFrame:
+def arrow_map(df: DataFrame, text: str, row_columns: list[str], work: Callable[[list], dict] | None, schema: str, setup: Callable | None = None, arrow: bool = False) -> DataFrame:
     """``row_columns`` of ``df`` beside the columns that ``work(texts)`` makes, one value a row.
 
-    ``setup`` makes ``work`` in the worker if given. Whole texts go through, in slices bounded by bytes.
+    ``setup`` makes ``work`` in the worker if given; ``work`` gets a list, or an Arrow array if
+    ``arrow``. Whole texts go through, in slices bounded by bytes.
     """
-    names = [f.name for f in df.select(*row_columns).schema]
+    # Columns go through under names of their own: Spark's maps don't take names with dots.
+    source = df.select(*(col(c).alias(f"c{k}") for k, c in enumerate(row_columns)), col(text).alias("text"))
+    own = source.schema.fields[: len(row_columns)]
+    new = StructType.fromDDL(schema).fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do = setup() if setup else work
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches, "text", arrow=arrow):
             made = do(texts)
-            columns = {n: part.column(part.schema.get_field_index(n)) for n in names} | made
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()], names=list(columns))
+            columns = [*part.columns[:-1], *(made[f.name] for f in new)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=[f.name for f in (*own, *new)])
+        release()
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*row_columns).schema)
-    return df.select(*dict.fromkeys([*row_columns, text])).mapInArrow(run, f"{head}, {schema}")
+    return source.mapInArrow(run, StructType([*own, *new])).toDF(*row_columns, *(f.name for f in new))

@@ -1,28 +1,27 @@
-"""Byte-level BPE: pre-token chunks, heap merging and token counts without identifiers.
+"""Byte-level BPE: chunks, heap merging and token counts without identifiers.
 
-The pattern of the byte-level BPE vocabularies never makes a token that spans a space followed by a
-non-space character, so a text falls into independent chunks there. Chunks repeat much more than
-texts do; each worker keeps a bounded table of their results.
+No token of the byte-level pattern goes on past an ASCII letter or digit before punctuation, past a
+printing character before ASCII white space, or past the character before a space that is not
+followed by white space; texts are cut there, and each different chunk is tokenized once.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import struct
-from collections.abc import Callable, Iterator
-from functools import lru_cache
-from itertools import islice
+import os
+from itertools import accumulate, chain, pairwise
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from .chunked import MARKS, Chunks, ValueTable
+
 #: Fixed value: the pattern of byte-level BPE (GPT-2's), as in the tokenizers library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CUT = regex.compile(r"(?= \S)")
-_ODD = regex.compile(r" (?:\s|$)")
-#: ASCII characters that are no white space, letters or digits; an apostrophe can begin a suffix, but not after the first of these.
-_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 def byte_symbols() -> list[str]:
@@ -32,75 +31,23 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut before each space that a non-space follows; all but the first chunk lose that space.
-
-    Such a chunk stands for " " + chunk. Where a space is followed by white space or ends the text,
-    cutting is left to a pattern, and the result is the same.
-    """
-    if _ODD.search(text) is None:
-        return text.split(" ")
-    first, *rest = _CUT.split(text)
-    return [first, *(x[1:] for x in rest)]
+def cut_rules() -> tuple[np.ndarray, np.ndarray]:
+    """For Chunks: pairs of ASCII bytes that no token spans, and bytes that surely begin no white space, before which a space begins a token."""
+    pairs = np.zeros((256, 256), bool)
+    letters = [b for b in range(128) if chr(b).isalnum()]
+    marks = [ord(c) for c in MARKS]
+    pairs[np.ix_(letters, marks)] = True
+    pairs[np.ix_([*letters, *marks], [*range(9, 14)])] = True
+    # The first bytes of white space beyond ASCII in UTF-8 are 0xC2, 0xE1, 0xE2 and 0xE3.
+    sure = np.array([b in letters or b in marks or (b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3)) for b in range(256)])
+    return pairs.ravel(), sure
 
 
-class ChunkTable:
-    """Bounded tables of the values of chunks and of their pre-tokens, which stay in a worker from task to task.
-
-    ``compute`` gets a list of new pre-tokens and returns their values; a chunk's value is the sum of
-    its pre-tokens'. A table that is full goes on with its older half and what the present texts need:
-    frequent chunks come early.
-    """
+_PAIRS, _SURE = cut_rules()
 
-    def __init__(self, compute: Callable[[list[str]], list], most_chunks: int = 400_000, most_tokens: int = 600_000):
-        self.known: dict[str, object] = {}
-        self.tokens: dict[str, object] = {}
-        self.compute, self.most_chunks, self.most_tokens = compute, most_chunks, most_tokens
-        self.pattern = regex.compile(PATTERN)
 
-    def split(self, chunk: str) -> list[str]:
-        """Pre-tokens of " " + chunk. Letters, or letters and then ASCII punctuation, need no pattern."""
-        if chunk.isalpha():
-            return [" " + chunk]
-        body = chunk.rstrip(_MARKS)
-        if body.isalpha():
-            return [" " + body, chunk[len(body) :]]
-        return self.pattern.findall(" " + chunk)
-
-    def learn(self, lists: list[list[str]]) -> dict:
-        """Make the table hold every chunk of ``lists``, past each list's first, and return it."""
-        new = set()
-        for parts in lists:
-            new.update(parts[1:])
-        new = new.difference(self.known)
-        if len(self.known) + len(new) > self.most_chunks:
-            self.known = dict(islice(self.known.items(), self.most_chunks // 2))
-            for parts in lists:
-                new.update(parts[1:])
-            new = new.difference(self.known)
-        fresh = list(new)
-        split = list(map(self.split, fresh))
-        self.known.update(zip(fresh, map(self.joined, split, self.values(split)), strict=True))
-        return self.known
-
-    def values(self, split: list[list[str]]) -> Iterator[list]:
-        unknown = set().union(*split).difference(self.tokens)
-        if len(self.tokens) + len(unknown) > self.most_tokens:
-            self.tokens = dict(islice(self.tokens.items(), self.most_tokens // 2))
-            unknown = set().union(*split).difference(self.tokens)
-        unknown = list(unknown)
-        self.tokens.update(zip(unknown, self.compute(unknown), strict=True))
-        get = self.tokens.__getitem__
-        return ([get(t) for t in tokens] for tokens in split)
-
-    @staticmethod
-    def joined(tokens: list[str], values: list):
-        return values[0] if len(values) == 1 else b"".join(values) if isinstance(values[0], bytes) else sum(values)
-
-    def value(self, text: str):
-        """The value of a text that isn't a chunk, such as the first of a document."""
-        tokens = self.pattern.findall(text)
-        return self.joined(tokens, next(self.values([tokens])))
+def chunks(texts: pa.Array) -> Chunks:
+    return Chunks(texts, _PAIRS, _SURE)
 
 
 class MergeRanks:
@@ -108,7 +55,7 @@ class MergeRanks:
 
     def __init__(self, blob: bytes):
         model = json.loads(blob)
-        specials = [t["content"] for t in model["added_tokens"]]
+        self.specials = sorted((t["content"] for t in model["added_tokens"]), key=len, reverse=True)
         plain = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
         if model["normalizer"] is not None or any(t[k] != v for t in model["added_tokens"] for k, v in plain.items()):
             raise ValueError("only plain byte-level BPE files are supported: no normalizer, no stripping added tokens")
@@ -118,12 +65,25 @@ class MergeRanks:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
         self.ranks = {pair: k for k, pair in enumerate(merges)}
         self.symbols = byte_symbols()
-        self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
+        self.pattern = regex.compile(PATTERN)
 
     def merges_of(self, token: str) -> tuple[int, int]:
         """(symbols, merges) of one pre-token: pop the pair of lowest rank, leftmost first, from a heap over a linked list, until none is left."""
         return heap_merges([self.symbols[b] for b in token.encode("utf-8", "surrogatepass")], self.ranks)
 
+    def count(self, text: str) -> int:
+        """Tokens of a text without special strings: for each pre-token its symbols less its merges."""
+        tokens = [text] if text.isalpha() or (text[:1] == " " and text[1:].isalpha()) else self.pattern.findall(text)
+        return sum(symbols - merges for symbols, merges in map(self.merges_of, tokens))
+
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold a special string."""
+        found = np.zeros(len(texts), bool)
+        for special in self.specials:
+            found |= pc.match_substring(texts, special).fill_null(False).to_numpy(zero_copy_only=False)
+        return found
+
 
 def heap_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> tuple[int, int]:
     """(symbols at first, merges done) for byte-pair merging by rank.
@@ -161,35 +121,24 @@ def heap_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> tuple[
     return n, merges
 
 
-@lru_cache(maxsize=2)
-def token_counter(blob: bytes) -> Callable[[list[str | None]], list[int]]:
-    """A function from texts to token counts (null: 0), with bounded tables of what chunks and pre-tokens count."""
-    ranks = MergeRanks(blob)
-
-    def compute(new: list[str]) -> list[int]:
-        return [symbols - merges for symbols, merges in map(ranks.merges_of, new)]
+class TokenCounter:
+    """Token counts of texts by heap merging, with a bounded table of what chunks count."""
 
-    table = ChunkTable(compute)
-
-    def run(texts: list[str | None]) -> list[int]:
-        lists, owners, counts = [], [], [0] * len(texts)
-        for at, text in enumerate(texts):
-            if not text:
-                continue
-            pieces = [text]
-            if ranks.special is not None and ranks.special.search(text):
-                pieces = ranks.special.split(text)
-                counts[at] += len(pieces) - 1
-            for piece in pieces:
-                if piece:
-                    lists.append(chunks(piece))
-                    owners.append(at)
-        known = table.learn(lists)
-        for at, parts in zip(owners, lists, strict=True):
-            counts[at] += (table.value(parts[0]) if parts[0] else 0) + sum(map(known.__getitem__, parts[1:]))
-        return counts
-
-    return run
+    def __init__(self, blob: bytes):
+        self.ranks = MergeRanks(blob)
+        self.table = ValueTable(lambda new: list(map(self.ranks.count, new)))
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The tokens of each text; null: 0. Texts with special strings are counted piece by piece between them."""
+        odd = self.ranks.odd(texts)
+        plain = texts if not odd.any() else texts.filter(pa.array(~odd))
+        found = chunks(plain)
+        out = np.zeros(len(texts), np.int64)
+        out[~odd] = found.totals(self.table.values(found.keys))
+        for k in np.flatnonzero(odd):
+            pieces = self.ranks.special.split(texts[int(k)].as_py())
+            out[k] = len(pieces) - 1 + sum(self.ranks.count(x) for x in pieces if x)
+        return out
 
 
 def read_blob(path: str) -> bytes:
@@ -197,38 +146,35 @@ def read_blob(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
-@lru_cache(maxsize=2)
-def id_encoder(blob: bytes) -> Callable[[list[str | None]], Iterator[bytes]]:
-    """A function from texts to their ids as little-endian unsigned 32-bit integers, by the tokenizers library.
+class IdEncoder:
+    """Ids of texts as little-endian unsigned 32-bit integers: the tokenizers library encodes the chunks that a bounded table lacks, and texts with special strings whole."""
 
-    The library's model encodes the pre-tokens that a worker's bounded tables lack; texts with special
-    strings go to the library whole.
-    """
-    import numpy as np
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(blob.decode())
-    ranks = MergeRanks(blob)
-    model = tokenizer.model
-    letters = str.maketrans({chr(b): c for b, c in enumerate(ranks.symbols)})
+    def __init__(self, blob: bytes):
+        from tokenizers import Tokenizer
 
-    def encode(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
+        self.tokenizer = Tokenizer.from_str(blob.decode())
+        self.ranks = MergeRanks(blob)
+        self.ranks.ranks = {}  # the library has its own
+        self.table = ValueTable(self.compute)
 
-    def compute(new: list[str]) -> list[bytes]:
+    def compute(self, new: list[str]) -> list[bytes]:
         out = []
-        for token in new:
-            found = [t.id for t in model.tokenize(token.encode().decode("latin-1").translate(letters))]
-            out.append(struct.pack(f"<{len(found)}I", *found))
+        for at in range(0, len(new), 4096):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+            ends = [4 * n for n in accumulate(map(len, ids), initial=0)]
+            out += [flat[a:b] for a, b in pairwise(ends)]
         return out
 
-    table = ChunkTable(compute)
-
-    def run(texts: list[str | None]) -> Iterator[bytes]:
-        whole = [bool(t) and ranks.special is not None and ranks.special.search(t) is not None for t in texts]
-        lists = [[""] if not t or odd else chunks(t) for t, odd in zip(texts, whole, strict=True)]
-        known = table.learn(lists)
-        for text, odd, parts in zip(texts, whole, lists, strict=True):
-            yield encode(text) if odd else (table.value(parts[0]) if parts[0] else b"") + b"".join(map(known.__getitem__, parts[1:]))
-
-    return run
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin (and the end)."""
+        odd = self.ranks.odd(texts)
+        if not odd.any():
+            found = chunks(texts)
+            return found.joined(self.table.values(found.keys), "<u4")
+        ids, cuts = self.ids(texts.filter(pa.array(~odd)))
+        parts, plain = [], iter(np.split(ids, cuts[1:-1]) if len(cuts) > 1 else [])
+        for k in range(len(texts)):
+            parts.append(np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4") if odd[k] else next(plain))
+        return np.concatenate(parts).astype("<u4"), np.concatenate([np.zeros(1, np.int64), np.cumsum([len(p) for p in parts])])

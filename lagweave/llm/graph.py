@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import staged
+from .base import drop_staged, staged
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -28,5 +28,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        now = staged(small, f"{name}-{rounds}")
+        before, now = now, staged(small, f"{name}-{rounds}")
+        drop_staged(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b")).distinct()

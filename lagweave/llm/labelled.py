@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .base import col, staged
+
 FOLDS, HELD_OUT = 4, 2
 
 
@@ -14,13 +16,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
 
 
-def chosen_labels(labels: DataFrame, label: str, most: int, doc_id: str = "doc_id") -> DataFrame:
-    """Up to ``most`` ids that may be learnt from, with y: those of the smallest hashes, so the choice is the same in every run.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, most_words: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Up to ``most`` ids of ``docs`` that may be learnt from, with y: those of the smallest hashes, so the choice is the same in every run.
 
-    Null labels are left out; an id with both labels counts as 1.
+    If ``most_words`` is given, they stop before the id with which their texts have more words than
+    that together (the first one stays). Null labels are left out; an id with both labels counts as 1.
     """
-    rows = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("y"))
-    return rows.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    rows = labels.filter(F.col(label).isin(0, 1) & ~held_out(col("doc_id"))).groupBy(col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("y"))
+    known = rows.join(docs.select(col(doc_id).alias("_id")), "_id", "left_semi")
+    chosen = staged(known.orderBy(F.xxhash64("_id"), "_id").limit(most), "sample")
+    if most_words is None:
+        return chosen
+    words = docs.select(col(doc_id).alias("_id"), col(text).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(F.max(F.coalesce(F.regexp_count("_text", F.lit(r"\S+")), F.lit(0))).alias("n"))
+    order = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return staged(words.withColumn("run", F.sum("n").over(order)).filter((F.col("run") <= most_words) | (F.col("run") == F.col("n"))).select("_id", "y"), "sample-words")
 
 
 def platt(values: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import staged
+from .base import col, staged
 
 LEVELS = ("domain", "lang", "source")
 
@@ -89,39 +89,44 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return out.withColumn("whole", F.expr("CASE WHEN tokens > 0 THEN budget div tokens ELSE 0 END")).withColumn("rest", F.expr("CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END"))
 
 
-def mixed(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", tokens: Column | None = None, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all, if not given) with mix_domain, mix_tokens, mix_whole and mix_part, of the documents that are taken.
+MARKS = ("mix_domain", "mix_tokens", "mix_whole", "mix_part")
+
+
+def mixed(docs: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", tokens: Column | None = None, columns: list[str] | None = None, marks: bool = True) -> DataFrame:
+    """``columns`` of ``docs`` (all, if not given) of the documents that are taken, with mix_domain, mix_tokens, mix_whole and mix_part if ``marks``.
 
     A leaf's tokens are read in epochs, each in the order of a seeded hash, up to its budget:
     mix_whole epochs have all of a document, the epoch after them its first mix_part tokens. Tokens
     are words unless given. Null and empty languages and sources are one leaf each level; documents
     without tokens are never taken. Repeated rows are read one after another. Columns of the new
-    names are replaced.
+    names are replaced if ``marks``; no other name can clash, as a row goes through as one struct.
 
     Budgets come from sums by leaf. The last epoch's order is cut into 65,536 ranges of the hash: sums
     by leaf and range tell the one that holds the budget's end, and only its documents are sorted.
     """
-    kept = [c for c in (columns or docs.columns) if not c.startswith("mix_")]
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    named = {"_domain": domain_of(F.col(source)), "_lang": blank(lang), "_source": blank(source), "_tokens": words_of(F.col(text)) if tokens is None else tokens, "_name": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "_text": F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))}
+    names = [c for c in (columns or docs.columns) if not (marks and c in MARKS)]
+    blank = lambda c: F.coalesce(col(c), F.lit(""))
+    named = {"domain": domain_of(col(source)), "lang": blank(lang), "source": blank(source), "tokens": words_of(col(text)) if tokens is None else tokens, "name": F.coalesce(col(doc_id).cast("string"), F.lit("")), "digest": F.md5(F.coalesce(col(text), F.lit("")).cast("binary"))}
     narrow = staged(docs.select(*(v.alias(k) for k, v in named.items())), "mix-rows")
-    leaf = ["_domain", "_lang", "_source"]
-    leaves = narrow.groupBy(*(F.col(c).alias(c[1:]) for c in leaf)).agg(F.sum("_tokens").alias("tokens"))
-    budgets = staged(leaf_budgets(leaves, mix).select(*(F.col(c[1:]).alias(c) for c in leaf), F.col("whole").alias("_whole"), F.col("rest").alias("_rest")), "mix-leaves")
-    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_whole").cast("string"), F.col("_name"), F.col("_text")).cast("binary"))
-    place = lambda rows: rows.join(budgets, leaf).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 4))
-    ranges = place(narrow).filter("_rest > 0").groupBy(*leaf, "_range", "_rest").agg(F.sum("_tokens").alias("_sum"))
-    running = F.sum("_sum").over(Window.partitionBy(*leaf).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = ranges.withColumn("_run", running).filter("_run >= _rest AND _run - _sum < _rest").select(*leaf, F.col("_range").alias("_end"), (F.col("_run") - F.col("_sum")).alias("_before"))
+    leaf = list(LEVELS)
+    leaves = narrow.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"))
+    budgets = staged(leaf_budgets(leaves, mix).select(*leaf, "whole", "rest"), "mix-leaves")
+    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.col("name"), F.col("digest")).cast("binary"))
+    place = lambda rows: rows.join(budgets, leaf).withColumn("key", key).withColumn("range", F.substring("key", 1, 4))
+    ranges = place(narrow).filter("rest > 0").groupBy(*leaf, "range", "rest").agg(F.sum("tokens").alias("sum"))
+    running = F.sum("sum").over(Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = ranges.withColumn("run", running).filter("run >= rest AND run - sum < rest").select(*leaf, F.col("range").alias("end"), (F.col("run") - F.col("sum")).alias("before"))
     ends = staged(ends, "mix-ends")
-    marked = place(docs.select(*kept, *(v.alias(k) for k, v in named.items()))).join(ends, leaf, "left")
-    sorted_out = F.col("_range") == F.col("_end")
-    sure = marked.filter(~F.coalesce(sorted_out, F.lit(False))).withColumn("_part", F.when(F.col("_range") < F.col("_end"), F.col("_tokens")).otherwise(F.lit(0).cast("long")))
-    order = Window.partitionBy(*leaf).orderBy("_key", "_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("_tokens").over(order), F.lit(0))
-    cut = marked.filter(sorted_out).withColumn("_part", F.greatest(F.lit(0).cast("long"), F.least(F.col("_tokens"), F.col("_rest") - start)))
-    both = sure.unionByName(cut).filter("_tokens > 0 AND (_whole > 0 OR _part > 0)")
-    return both.select(*kept, F.col("_domain").alias("mix_domain"), F.col("_tokens").alias("mix_tokens"), F.col("_whole").alias("mix_whole"), F.col("_part").alias("mix_part"))
+    row = F.struct(*(col(c) for c in names)) if names else F.struct(F.lit(0))
+    marked = place(docs.select(row.alias("row"), *(v.alias(k) for k, v in named.items()))).join(ends, leaf, "left")
+    sorted_out = F.col("range") == F.col("end")
+    sure = marked.filter(~F.coalesce(sorted_out, F.lit(False))).withColumn("part", F.when(F.col("range") < F.col("end"), F.col("tokens")).otherwise(F.lit(0).cast("long")))
+    order = Window.partitionBy(*leaf).orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("tokens").over(order), F.lit(0))
+    cut = marked.filter(sorted_out).withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("tokens"), F.col("rest") - start)))
+    both = sure.unionByName(cut).filter("tokens > 0 AND (whole > 0 OR part > 0)")
+    made = [F.col(c).alias(m) for c, m in zip(("domain", "tokens", "whole", "part"), MARKS, strict=True)] if marks else []
+    return both.select(*(F.col("row").getField(c).alias(c) for c in names), *made)
 
 
 def mix_table(docs: DataFrame, mix: Mix) -> DataFrame:

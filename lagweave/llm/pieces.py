@@ -9,16 +9,15 @@ from __future__ import annotations
 
 import heapq
 import struct
-from collections.abc import Iterator
-from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .bytepairs import _MARKS, ChunkTable
+from .chunked import Chunks, ValueTable, buffer_of
 
 SPACE = "▁"
-_UNITS = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 class CharsMap:
@@ -55,86 +54,70 @@ class CharsMap:
 
 
 class Normalizer:
-    """A model's normaliser: ``normalize`` returns the normalised bytes and, for each of them and for the end, its place in the text."""
+    """A model's normaliser: ``normalize`` returns the normalised text and, for each of its bytes and for the end, its place in the text.
+
+    Escaped spaces are plain ones here, of one byte: the normalised text has no others.
+    """
 
     def __init__(self, spec, space_last: bool):
-        if space_last:
-            raise ValueError("white space as a suffix is not supported")
+        if space_last or not spec.escape_whitespaces:
+            raise ValueError("white space as a suffix, or not escaped, is not supported")
         self.map = CharsMap(spec.precompiled_charsmap)
-        self.prefix, self.strip, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
-        self.plain = not self.map.units and not self.strip and self.escape and self.prefix
-        self.space = SPACE.encode() if self.escape else b" "
+        self.prefix, self.strip = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        #: Nothing but the prefix is added to a text that has no escaped space of its own.
+        self.plain = not self.map.units and not self.strip and self.prefix
 
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
         data = text.encode("utf-8", "replace")
-        if not data:
-            return b"", np.zeros(1, np.int64)
-        if self.plain:
-            own = np.frombuffer(data, np.uint8)
-            width = np.where(own == 32, 3, 1)
-            places = np.concatenate([np.zeros(3, np.int64), np.repeat(np.arange(len(data)), width), [len(data)]])
-            return self.space + data.replace(b" ", self.space), places
-        out, places, at = bytearray(), [], 0
         pieces: list[tuple[bytes, int]] = []
+        at = 0
         while at < len(data):
             if (hit := self.map.longest(data, at)) is not None:
                 taken, new = hit
             else:
                 taken = 1 if data[at] < 128 else 2 if data[at] < 224 else 3 if data[at] < 240 else 4
                 new = data[at : at + taken]
-            pieces.append((new, at))
+            pieces.append((new.replace(SPACE.encode(), b" "), at))
             at += taken
         end = len(data)
         if self.strip:
-            while pieces and pieces[0][0] in (b" ", b""):
-                pieces.pop(0)
+            start = next((k for k, p in enumerate(pieces) if p[0] not in (b" ", b"")), len(pieces))
+            pieces = pieces[start:]
             while pieces and pieces[-1][0].strip(b" ") == b"":
                 end = pieces.pop()[1]
         if not pieces:
             return b"", np.zeros(1, np.int64)
+        out, places = bytearray(), []
         if self.prefix:
-            out += self.space
-            places += [pieces[0][1]] * len(self.space)
+            out += b" "
+            places.append(pieces[0][1])
         after_space = self.strip
         for new, at in pieces:
             if after_space:
                 new = new.lstrip(b" ")
-            for b in new:
-                byte = self.space if b == 32 else bytes([b])
-                out += byte
-                places += [at] * len(byte)
+            out += new
+            places += [at] * len(new)
             if new:
                 after_space = self.strip and new[-1] == 32
         if self.strip:
-            while out.endswith(self.space):
-                end = places[len(out) - len(self.space)]
-                del out[len(out) - len(self.space) :], places[len(out) :]
+            while out.endswith(b" "):
+                end = places.pop()
+                del out[-1]
         return bytes(out), np.array([*places, end], np.int64)
 
 
-class UnitTable(ChunkTable):
-    """Values of units (a run of spaces, then no spaces): their pieces as pairs of unsigned 32-bit (id, normalised bytes)."""
+class Encoded:
+    """What some texts encode to: ``ids`` one after another with ``cuts`` (each text's first, and the end), byte spans of each id, and the decoded texts' bytes with their cuts."""
 
-    def __init__(self, compute, joins: regex.Pattern, neighbours: set[str]):
-        super().__init__(compute)
-        self.joins, self.neighbours = joins, neighbours
-
-    def split(self, unit: str) -> list[str]:
-        body = unit.rstrip(_MARKS)
-        if not body.isalpha():
-            return self.joins.findall(SPACE + unit)
-        if len(body) == len(unit):
-            return [SPACE + unit]
-        if unit[len(body) - 1 : len(body) + 1] in self.neighbours:
-            return [SPACE + unit]
-        return [SPACE + body, unit[len(body) :]]
+    def __init__(self, ids: np.ndarray, cuts: np.ndarray, starts: np.ndarray, stops: np.ndarray, decoded: np.ndarray, decoded_cuts: np.ndarray):
+        self.ids, self.cuts, self.starts, self.stops, self.decoded, self.decoded_cuts = ids, cuts, starts, stops, decoded, decoded_cuts
 
 
 class PieceEncoder:
-    """Encodes as the sentencepiece library does with a BPE model, and keeps offsets."""
+    """Encodes as the sentencepiece library does with a BPE model, and keeps offsets; chunks are decoded by the library."""
 
     def __init__(self, blob: bytes):
-        from sentencepiece import sentencepiece_model_pb2
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(blob)
@@ -143,21 +126,31 @@ class PieceEncoder:
         if any(p.type in (4, 5) for p in model.pieces):
             raise ValueError("user-defined and unused pieces are not supported")
         self.normalizer = Normalizer(model.normalizer_spec, model.trainer_spec.treat_whitespace_as_suffix)
+        self.processor = SentencePieceProcessor(model_proto=blob)
         normal = [(p.score, i, p.piece) for i, p in enumerate(model.pieces) if p.type == 1]
         self.id_of = {piece: i for _, i, piece in normal}
+        if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
+            raise ValueError("pieces that span words are not supported")
         scores = sorted({s for s, _, _ in normal}, reverse=True)
         order = {s: k for k, s in enumerate(scores)}
         self.rank = {piece: order[s] for s, _, piece in normal}
         self.bytes_of = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.unknown = model.trainer_spec.unk_id
         self.begin, self.end = model.trainer_spec.bos_id, model.trainer_spec.eos_id
-        # A character that is in no piece of two or more never merges, nor do two that are neighbours in no piece: texts are cut there. So they are before a space,
-        # unless a piece goes on past one.
-        joining = sorted(set("".join(p for p in self.id_of if len(p) > 1)))
-        inner = "".join(map(regex.escape, joining))
-        if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
-            raise ValueError("pieces that span words are not supported")
-        self.table = UnitTable(self.compute, regex.compile(f"[{inner}]+|[^{inner}]", regex.DOTALL), {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)})
+        self.pairs = self.apart()
+        self.table = ValueTable(self.compute)
+
+    def apart(self) -> np.ndarray:
+        """Pairs of bytes that no piece has as neighbours, so that no merge spans them: of ASCII, and any byte before a space but a space."""
+        near = {p[k : k + 2].replace(SPACE, " ") for p in self.id_of for k in range(len(p) - 1)}
+        pairs = np.zeros((256, 256), bool)
+        pairs[:128, :128] = True
+        pairs[:, 32] = True
+        for x in near:
+            if x.isascii():
+                pairs[ord(x[0]), ord(x[1])] = False
+        pairs[32, 32] = False
+        return pairs.ravel()
 
     def merged(self, text: str) -> list[str]:
         """Symbols after merging: the pair whose piece has the highest score, leftmost first."""
@@ -183,55 +176,95 @@ class PieceEncoder:
                 heapq.heappush(heap, (r, p, new))
         return [s for s in symbols if s]
 
-    def compute(self, new: list[str]) -> list[bytes]:
-        out = []
-        for segment in new:
-            flat: list[int] = []
-            for symbol in self.merged(segment):
-                if (i := self.id_of.get(symbol)) is not None:
-                    flat += i, len(symbol.encode())
-                elif self.bytes_of:
-                    for b in symbol.encode():
-                        flat += self.bytes_of[b], 1
-                else:
-                    flat += self.unknown, len(symbol.encode())
-            out.append(struct.pack(f"<{len(flat)}I", *flat))
-        return out
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text its ids with begin and end, and a row (first byte, byte after the last) of the text for each id between them."""
-        whole = []
-        for text in texts:
-            norm, places = self.normalizer.normalize(text or "")
-            form = norm.decode().replace(" ", SPACE) if norm else ""
-            if not form:
-                units = []
-            elif form.startswith(SPACE) and SPACE * 2 not in form and not form.endswith(SPACE):
-                units = form.split(SPACE)
+    def pieces_of(self, chunk: str) -> tuple[list[int], list[int]]:
+        """Ids of a chunk of normalised text and the bytes of it that each stands for."""
+        ids, sizes = [], []
+        for symbol in self.merged(chunk.replace(" ", SPACE)):
+            own = len(symbol) if symbol.isascii() else len(symbol.replace(SPACE, " ").encode())
+            if (i := self.id_of.get(symbol)) is not None:
+                ids.append(i)
+                sizes.append(own)
+            elif self.bytes_of:
+                data = symbol.encode()
+                ids += [self.bytes_of[b] for b in data]
+                sizes += [1] * own + [0] * (len(data) - own)
             else:
-                found = _UNITS.findall(form)
-                units = ["", *(u[1:] if u[0] == SPACE else "\0" + u for u in found)]
-                if units[1][:1] == "\0" and found[0][0] != SPACE:
-                    units = [found[0], *units[2:]]
-            whole.append((units, places))
-        known = self.table.learn([u for u, _ in whole])
-        for units, places in whole:
-            head = self.head(units[0]) if units and units[0] else b""
-            pairs = np.frombuffer(head + b"".join(map(known.__getitem__, units[1:])), "<u4").reshape(-1, 2)
-            ids, size = pairs[:, 0], pairs[:, 1]
-            if self.unknown >= 0 and not self.bytes_of and len(ids):  # neighbouring unknown characters are one piece
-                first = np.r_[True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)]
-                ids, size = ids[first], np.add.reduceat(size, np.flatnonzero(first))
-            cut = np.concatenate([np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)])
-            spans = np.stack([places[cut[:-1]], places[cut[1:]]], axis=1)
-            yield np.concatenate([[self.begin], ids, [self.end]]).astype("<u4"), spans
-
-    def head(self, text: str) -> bytes:
-        """Pieces of a first unit without a space before it (models without the dummy prefix)."""
-        return b"".join(self.compute(self.table.joins.findall(text)))
-
-
-@lru_cache(maxsize=2)
-def piece_encoder(blob: bytes) -> PieceEncoder:
-    """One encoder a worker, with its bounded tables."""
-    return PieceEncoder(blob)
+                ids.append(self.unknown)
+                sizes.append(own)
+        return ids, sizes
+
+    def compute(self, new: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+        """Of each chunk its ids, their sizes, and what they decode to, with the space that decoding takes from the front."""
+        found = list(map(self.pieces_of, new))
+        text = self.processor.decode([ids for ids, _ in found], num_threads=1) if found else []
+        ends = [4 * n for n in accumulate((len(ids) for ids, _ in found), initial=0)]
+        ids = np.fromiter((i for own, _ in found for i in own), "<u4").tobytes()
+        sizes = np.fromiter((i for _, own in found for i in own), "<u4").tobytes()
+        return [(ids[a:b], sizes[a:b], (" " + t if chunk[0] == " " and self.normalizer.prefix else t).encode()) for chunk, t, (a, b) in zip(new, text, pairwise(ends), strict=True)]
+
+    def encode(self, texts: pa.Array) -> Encoded:
+        """Ids with begin and end, the span (first byte, byte after the last) of the text of each id between them, and the texts that the ids decode to."""
+        norm, places = self.normalized(texts)
+        found = Chunks(norm, self.pairs)
+        values = self.table.values(found.keys)
+        ids, cuts = found.joined([v[0] for v in values], "<u4")
+        sizes, _ = found.joined([v[1] for v in values], "<u4")
+        _, begins = buffer_of(norm)
+        if not self.bytes_of and self.unknown >= 0:
+            ids, sizes, cuts = self.one_unknown(ids, sizes, cuts)
+        stops = np.cumsum(sizes, dtype=np.int64)
+        starts = stops - sizes
+        own = np.repeat(begins[:-1], np.diff(cuts))
+        starts, stops = starts - own, stops - own
+        if places is None:  # only the prefix was added
+            starts, stops = np.maximum(starts - 1, 0), np.maximum(stops - 1, 0)
+        else:
+            for place, a, b in zip(places, cuts[:-1], cuts[1:], strict=True):
+                starts[a:b], stops[a:b] = place[starts[a:b]], place[stops[a:b]]
+        if self.bytes_of:
+            decoded, decoded_cuts = found.joined([v[2] for v in values], "u1")
+            decoded, decoded_cuts = self.without_prefix(decoded, decoded_cuts)
+        else:  # unknown pieces decode by what is beside them
+            whole = [self.processor.decode(ids[a:b].tolist()).encode() for a, b in pairwise(cuts.tolist())]
+            decoded, decoded_cuts = np.frombuffer(b"".join(whole), "u1"), np.concatenate([np.zeros(1, np.int64), np.cumsum(list(map(len, whole)), dtype=np.int64)])
+        ids, cuts = self.between(ids, cuts)
+        return Encoded(ids, cuts, starts, stops, decoded, decoded_cuts)
+
+    def normalized(self, texts: pa.Array) -> tuple[pa.Array, list[np.ndarray] | None]:
+        """The normalised texts, and the places of each one's bytes; None where a text has only the prefix before it."""
+        texts = texts.fill_null("")
+        if self.normalizer.plain and not pc.any(pc.match_substring(texts, SPACE)).as_py():
+            joined = pc.binary_join_element_wise(pa.scalar(" "), texts, pa.scalar(""))
+            return pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, joined), None
+        norm = [self.normalizer.normalize(t) for t in texts.to_pylist()]
+        return pa.array([n.decode() for n, _ in norm], pa.string()), [p for _, p in norm]
+
+    def one_unknown(self, ids: np.ndarray, sizes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbouring unknown characters of a text are one piece."""
+        if not len(ids):
+            return ids, sizes, cuts
+        first = np.r_[True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)]
+        first[cuts[:-1][cuts[:-1] < len(ids)]] = True
+        at = np.flatnonzero(first)
+        return ids[first], np.add.reduceat(sizes, at), np.searchsorted(at, cuts)
+
+    def without_prefix(self, decoded: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decoded texts without the space that encoding put before them."""
+        if not self.normalizer.prefix:
+            return decoded, cuts
+        some = np.diff(cuts) > 0
+        keep = np.ones(len(decoded), bool)
+        keep[cuts[:-1][some]] = False
+        return decoded[keep], cuts - np.concatenate([np.zeros(1, np.int64), np.cumsum(some)])
+
+    def between(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with begin and end around each text's."""
+        n = np.arange(len(cuts))
+        out = np.full(len(ids) + 2 * (len(cuts) - 1), self.begin, "<u4")
+        own = np.ones(len(out), bool)
+        wide = cuts + 2 * n
+        own[wide[:-1]] = False
+        own[wide[1:] - 1] = False
+        out[wide[1:] - 1] = self.end
+        out[own] = ids
+        return out, wide

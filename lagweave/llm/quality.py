@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map
-from .labelled import chosen_labels, held_out, platt, sigmoid
+from .base import arrow_map, col
+from .labelled import held_out, platt, sampled, sigmoid
 
 THRESHOLD = 0.7
 #: Kinds of bytes that are counted: each row's characters are one kind; the rest of ASCII and other bytes are two more.
@@ -109,7 +109,7 @@ def fit_discriminant(x: np.ndarray, y: np.ndarray, folds: int = 4) -> QualityMod
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> QualityModel:
     """Fit on the statistics of at most ``most`` labelled documents that aren't held out; only statistics reach the driver."""
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen_labels(labels, label, most)), "_id")
+    rows = docs.select(col(doc_id).alias("_id"), col(text).alias("_text")).join(F.broadcast(sampled(docs, labels, label, most, None, doc_id, text)), "_id")
     made = arrow_map(rows, "_text", ["_id", "y"], lambda texts: {"x": pa.array(list(statistics_of(texts)), pa.list_(pa.float64()))}, "x array<double>")
     found = made.groupBy("_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("_id")
     width = statistics_of([""]).shape[1]

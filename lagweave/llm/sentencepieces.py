@@ -4,21 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import lru_cache
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import arrow_map
+from .base import arrow_map, kept
 from .bytepairs import read_blob
-from .pieces import piece_encoder
-
-
-@lru_cache(maxsize=2)
-def _processor(blob: bytes):
-    from sentencepiece import SentencePieceProcessor
-
-    return SentencePieceProcessor(model_proto=blob)
+from .pieces import Encoded, PieceEncoder
 
 
 def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -36,21 +30,28 @@ def piece_digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     return _mapped(docs, model, text, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long", _digests)
 
 
-def _lists(rows: list) -> dict:
-    return {
-        "ids": pa.array([i for i, _, _ in rows], pa.list_(pa.int32())),
-        "starts": pa.array([s[:, 0] for _, s, _ in rows], pa.list_(pa.int32())),
-        "stops": pa.array([s[:, 1] for _, s, _ in rows], pa.list_(pa.int32())),
-        "decoded": pa.array([d for _, _, d in rows], pa.string()),
-    }
+def _listed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.astype(np.int32)))
+
 
+def _inner(cuts: np.ndarray) -> np.ndarray:
+    """Cuts of the ids without begin and end."""
+    return cuts - 2 * np.arange(len(cuts))
 
-def _digests(rows: list) -> dict:
+
+def _lists(e: Encoded) -> dict:
+    spans = _inner(e.cuts)
+    decoded = pa.StringArray.from_buffers(len(e.cuts) - 1, pa.py_buffer(e.decoded_cuts.astype(np.int32)), pa.py_buffer(e.decoded))
+    return {"ids": _listed(e.ids, e.cuts), "starts": _listed(e.starts, spans), "stops": _listed(e.stops, spans), "decoded": decoded}
+
+
+def _digests(e: Encoded) -> dict:
+    ids, decoded, spans = memoryview(e.ids.tobytes()), memoryview(e.decoded.tobytes()), memoryview(np.stack([e.starts, e.stops], axis=1).astype("<i8").tobytes())
     return {
-        "n_tokens": pa.array([len(i) for i, _, _ in rows], pa.int64()),
-        "ids_sha256": pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i, _, _ in rows]),
-        "decoded_sha256": pa.array([hashlib.sha256(d.encode()).hexdigest() for _, _, d in rows]),
-        "spans_crc32": pa.array([zlib.crc32(s.astype("<i8").tobytes()) for _, s, _ in rows], pa.int64()),
+        "n_tokens": pa.array(np.diff(e.cuts), pa.int64()),
+        "ids_sha256": pa.array([hashlib.sha256(ids[4 * a : 4 * b]).hexdigest() for a, b in pairwise(e.cuts.tolist())], pa.string()),
+        "decoded_sha256": pa.array([hashlib.sha256(decoded[a:b]).hexdigest() for a, b in pairwise(e.decoded_cuts.tolist())], pa.string()),
+        "spans_crc32": pa.array([zlib.crc32(spans[16 * a : 16 * b]) for a, b in pairwise(_inner(e.cuts).tolist())], pa.int64()),
     }
 
 
@@ -59,11 +60,7 @@ def _mapped(docs: DataFrame, model: str, text: str, schema: str, made) -> DataFr
     new = {c.split()[0] for c in schema.split(", ")}
 
     def setup():
-        encoder, processor = piece_encoder(blob.value), _processor(blob.value)
-
-        def work(texts: list) -> dict:
-            return made([(ids, spans, processor.decode(ids.tolist())) for ids, spans in encoder.encode(texts)])
-
-        return work
+        encoder = kept(("piece encoder", zlib.crc32(blob.value)), lambda: PieceEncoder(blob.value))
+        return lambda texts: made(encoder.encode(texts))
 
-    return arrow_map(docs, text, [c for c in docs.columns if c not in new | {text}], None, schema, setup)
+    return arrow_map(docs, text, [c for c in docs.columns if c not in new | {text}], None, schema, setup, arrow=True)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, staged
+from .base import arrow_map, col, partitions, staged
 from .graph import components
 
 SEED = 42
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fingerprints are one node; exact copies cost no links. Texts of fewer than ``words`` words are
     one shingle.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    own = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     rows = staged(fingerprints(own.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"], words=words), "fingerprints")
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     found = components(links(nodes, bits))
@@ -275,10 +275,9 @@ def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
     twice = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_rows"))
     keys = chosen.join(twice, chosen["_hash"].eqNullSafe(twice["_hash"]) & chosen["_id"].eqNullSafe(twice["_id"])).select(chosen["_id"], chosen["_hash"], "_rows")
     keys = staged(keys, "kept")
-    names = docs.columns
-    marked = docs.withColumn("_own_hash", F.xxhash64(text))
-    on = marked[doc_id].eqNullSafe(keys["_id"]) & (marked["_own_hash"] == keys["_hash"])
-    joined = marked.join(keys, on).select(*(marked[c] for c in names), "_id", "_hash", "_rows")
-    once = joined.filter("_rows = 1").select(*names)
-    again = joined.filter("_rows > 1").dropDuplicates(["_id", "_hash"]).select(*names)
-    return once.union(again)
+    # A row goes through as one struct, so that no name of its columns can clash.
+    marked = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), col(doc_id).alias("own_id"), F.xxhash64(col(text)).alias("own_hash"))
+    joined = marked.join(keys, marked["own_id"].eqNullSafe(keys["_id"]) & (marked["own_hash"] == keys["_hash"]))
+    once = joined.filter("_rows = 1").select("row")
+    again = joined.filter("_rows > 1").dropDuplicates(["_id", "_hash"]).select("row")
+    return once.union(again).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, slices, staged
-from .bytepairs import id_encoder, read_blob, token_counter
+from .base import arrow_map, col, kept, partitions, release, slices, staged
+from .bytepairs import IdEncoder, TokenCounter, read_blob
 from .dac import read_file, write_file
 
 
@@ -24,18 +25,28 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
     kept, repeated ones too; columns of the same names are replaced.
     """
     blob = docs.sparkSession.sparkContext.broadcast(read_blob(tokenizer))
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit", text)]
 
     def setup():
-        count = token_counter(blob.value)
+        counter = kept(("token counter", zlib.crc32(blob.value)), lambda: TokenCounter(blob.value))
 
-        def work(texts: list) -> dict:
-            n = count(texts)
-            return {"n_bytes": pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())}
+        def work(texts: pa.Array) -> dict:
+            n = counter.counts(texts)
+            return {"n_bytes": pc.binary_length(texts).fill_null(0).cast(pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array(n > limit)}
 
         return work
 
-    return arrow_map(docs, text, [c for c in kept if c != text], None, "n_bytes long, n_tokens long, over_limit boolean", setup)
+    return arrow_map(docs, text, names, None, "n_bytes long, n_tokens long, over_limit boolean", setup, arrow=True)
+
+
+def with_end(ids: np.ndarray, cuts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` with ``end_id`` after each document's, and where each document's begin (and the end)."""
+    ends = cuts[1:] + np.arange(1, len(cuts))
+    out = np.full(len(ids) + len(ends), end_id, "<u4")
+    own = np.ones(len(out), bool)
+    own[ends - 1] = False
+    out[own] = ids
+    return out, np.concatenate([np.zeros(1, np.int64), ends])
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", ids_a_file: int = 2_000_000) -> DataFrame:
@@ -47,30 +58,38 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, doc_id:
     texts' hashes, so results don't depend on the partitions.
     """
     blob = docs.sparkSession.sparkContext.broadcast(read_blob(tokenizer))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tie = F.xxhash64("text")
-    rows = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = id_encoder(blob.value), np.array([end_id], "<u4").tobytes()
+        encoder = kept(("id encoder", zlib.crc32(blob.value)), lambda: IdEncoder(blob.value))
         file_no = TaskContext.get().partitionId() << 32
         names, lengths, data, total = [], [], [], 0
 
         def file() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file_no], pa.int64()), pa.array([total], pa.int64()), pa.array([write_file(names, lengths, np.frombuffer(b"".join(data), "<u4"))], pa.binary())], names=["file_no", "n_ids", "payload"])
-
-        for part, texts in slices(batches, "text"):
-            for name, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
-                names.append(name)
-                data.append(ids + end)
-                lengths.append(len(data[-1]) // 4)
-                total += lengths[-1]
+            payload = write_file([n for part in names for n in part], np.concatenate(lengths), np.concatenate(data))
+            return pa.RecordBatch.from_arrays([pa.array([file_no], pa.int64()), pa.array([total], pa.int64()), pa.array([payload], pa.binary())], names=["file_no", "n_ids", "payload"])
+
+        for part, texts in slices(batches, "text", arrow=True):
+            ids, cuts = with_end(*encoder.ids(texts), end_id)
+            own, at = part.column(0).to_pylist(), 0
+            while at < len(own):
+                # The first document with which the file is full, or the slice's last.
+                stop = min(int(np.searchsorted(cuts, cuts[at] + ids_a_file - total)), len(own))
+                names.append(own[at:stop])
+                lengths.append(np.diff(cuts[at : stop + 1]))
+                data.append(ids[cuts[at] : cuts[stop]])
+                total += int(cuts[stop] - cuts[at])
+                at = stop
                 if total >= ids_a_file:
                     yield file()
                     file_no += 1
                     names, lengths, data, total = [], [], [], 0
-        if names:
+        if total:
             yield file()
+        del names, lengths, data
+        release()
 
     return staged(rows.mapInArrow(run, "file_no long, n_ids long, payload binary"), "token-files")
 
@@ -84,8 +103,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for no, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(no, name, place, len(ids), zlib.crc32(ids.tobytes())) for name, place, ids in read_file(payload.as_py())]
+                rows = [(no, name, place, len(ids), zlib.crc32(ids.tobytes())) for name, place, ids in read_file(payload.as_buffer())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["file_no", "doc_id", "place", "n_tokens", "ids_crc32"])
+        release()
 
     docs = files.select("file_no", "payload").mapInArrow(run, "file_no long, doc_id long, place long, n_tokens long, ids_crc32 long")
     before = F.sum("n_ids").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))

@@ -1,27 +1,43 @@
-"""Toxic documents by a convolutional text classifier in numpy (op 10)."""
+"""Toxic documents by a convolutional text classifier in numpy (op 10).
+
+A word's embedding is the sum of the rows that hashes of it and of its beginnings point to, so words of
+one stem share a part. Filters of several widths run over the words; of each filter a document keeps
+its few largest responses (k-max pooling, so that a second and a third hit count), and a dense layer
+weighs them.
+"""
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map
-from .labelled import chosen_labels, held_out, platt, sigmoid
+from .base import arrow_map, col, kept
+from .chunked import Chunks, ValueTable
+from .labelled import held_out, platt, sampled, sigmoid
 
 THRESHOLD = 0.3
-BUCKETS = 1 << 22
+BUCKETS = 1 << 19
 WIDTHS = (1, 2, 3)
-FILTERS, DIMENSIONS = 8, 8
-_GAP = max(WIDTHS) - 1
+FILTERS, DIMENSIONS, LARGEST = 8, 8, 3
+#: Characters of the beginnings of a word that are hashed beside all of it.
+BEGINNINGS = (3, 5, 7)
+_ROWS = 1 + len(BEGINNINGS)
+#: Rows without a word between documents: no window spans two, and each document has windows enough.
+_GAP = max(*WIDTHS, LARGEST)
+
 
+def rows_of(chunk: str) -> bytes:
+    """Embedding rows of a word and of its beginnings, as 32-bit integers; 0 where there is none, nothing for a word without letters and digits.
 
-def bucket_of(word: str) -> int:
-    """The bucket of a word's lower-case letters and digits; marks around it don't count. Nothing left: -1."""
+    Case doesn't count, nor do marks and white space around a word.
+    """
+    word = chunk.strip().lower()
     if not word.isalnum():
         start, end = 0, len(word)
         while start < end and not word[start].isalnum():
@@ -29,37 +45,81 @@ def bucket_of(word: str) -> int:
         while end > start and not word[end - 1].isalnum():
             end -= 1
         word = word[start:end]
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS if word else -1
+        if not word:
+            return b""
+    hashed = [zlib.crc32(word.encode("utf-8", "surrogatepass")), *(zlib.crc32((word[:k] + "*").encode("utf-8", "surrogatepass")) if len(word) >= k else None for k in BEGINNINGS)]
+    return np.array([0 if h is None else h % (BUCKETS - 1) + 1 for h in hashed], "<i4").tobytes()
+
+
+def _white() -> np.ndarray:
+    pairs = np.zeros((256, 256), bool)
+    pairs[:, [*range(9, 14), 32]] = True
+    return pairs.ravel()
+
+
+_WHITE = _white()
+
+
+class Words:
+    """Turns texts into rows of their different words, each word's place among them, and where each text's words begin (and the end)."""
+
+    def __init__(self):
+        self.table = ValueTable(lambda new: list(map(rows_of, new)), most_bytes=24_000_000)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = Chunks(texts, _WHITE)
+        values = self.table.values(found.keys)
+        word = np.fromiter(map(len, values), np.int64, len(values)) > 0
+        place = np.cumsum(word) - 1
+        rows = np.frombuffer(b"".join(values), "<i4").reshape(-1, _ROWS)
+        own = word[found.index]
+        cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(own)])[found.first]
+        return rows, place[found.index[own]], cuts
 
 
-class WordRows:
-    """Rows of an embedding for words; row 0 is of buckets that weren't learnt. The table of words is bounded."""
+def apart(index: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words (counted from 1) with blank ones (0) between and around documents, and where each document begins (and the end)."""
+    n = np.arange(len(cuts))
+    starts = cuts + _GAP * (n + 1)
+    out = np.zeros(len(index) + _GAP * (len(cuts) + 1), np.int64)
+    out[np.arange(len(index)) + np.repeat(starts[:-1] - cuts[:-1], np.diff(cuts))] = index + 1
+    return out, starts
 
-    def __init__(self, buckets: np.ndarray, most: int = 150_000):
-        self.row_of = {int(b): k + 1 for k, b in enumerate(buckets)}
-        self.known: dict[str, int] = {}
-        self.most = most
 
-    def __call__(self, text: str | None) -> list[int]:
-        words = (text or "").lower().split()
-        try:
-            return list(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > self.most:
-                self.known.clear()
-            for w in set(words):
-                if w not in self.known:
-                    self.known[w] = self.row_of.get(bucket_of(w), 0)
-            return list(map(self.known.__getitem__, words))
+def responses(words: np.ndarray, embedded: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """A filter bank's response to every window: for each of its taps what the word there gives."""
+    n = len(words) - len(taps) + 1
+    out = (embedded @ taps[0])[words[:n]]
+    for k in range(1, len(taps)):
+        out += (embedded @ taps[k])[words[k : n + k]]
+    return out
+
+
+def pooled(words: np.ndarray, starts: np.ndarray, embedded: np.ndarray, filters: list[np.ndarray], biases: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The LARGEST responses of each filter in each document, and for each width the windows they are from."""
+    h = np.zeros((len(starts) - 1, len(filters), LARGEST, FILTERS), np.float32)
+    chosen = []
+    for w, (taps, bias) in enumerate(zip(filters, biases, strict=True)):
+        response, back = responses(words, embedded, taps), len(taps) - 1
+        top = np.zeros((len(starts) - 1, LARGEST, FILTERS), np.int64)
+        for d, (a, b) in enumerate(pairwise((starts - back).tolist())):
+            own = response[a:b]
+            at = np.argpartition(own, len(own) - LARGEST, axis=0)[-LARGEST:]
+            value = np.take_along_axis(own, at, axis=0)
+            order = np.argsort(-value, axis=0, kind="stable")
+            h[d, w], top[d] = np.take_along_axis(value, order, axis=0), np.take_along_axis(at, order, axis=0) + a
+        h[:, w] += bias
+        chosen.append(top)
+    return h, chosen
 
 
 @dataclass
 class ToxicModel:
-    """Embeddings of learnt buckets, filters of each width, a dense layer, the score's curve and thresholds by language."""
+    """Embedding rows, filters of each width and their biases, a dense layer, the score's curve and thresholds by language."""
 
-    buckets: np.ndarray
-    embedding: np.ndarray
+    table: np.ndarray
     filters: list[np.ndarray]
+    biases: list[np.ndarray]
     dense: np.ndarray
     bias: float
     slope: float = 1.0
@@ -67,205 +127,184 @@ class ToxicModel:
     thresholds: dict[str, float] = field(default_factory=dict)
     base: float | None = None
 
-    def __post_init__(self):
-        self._rows = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_rows": None}
-
-    def logits(self, documents: list) -> np.ndarray:
-        """The network's output: filters over words, the largest response of each in the document, a dense layer."""
-        if not documents:
-            return np.zeros(0)
-        index, starts = flat(documents)
-        return pooled(index, starts, self.embedding, self.filters) @ self.dense + self.bias
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        if self.base is not None:
-            return np.full(len(texts), self.base)
-        if self._rows is None:
-            self._rows = WordRows(self.buckets)
-        documents, out, at = [self._rows(t) for t in texts], [], 0
-        while at < len(documents):  # some 300,000 words at once, or one longer text
-            end, words = at, 0
-            while end < len(documents) and (end == at or words + len(documents[end]) <= 300_000):
-                words += len(documents[end])
-                end += 1
-            out.append(self.logits(documents[at:end]))
+    def logits(self, rows: np.ndarray, index: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The network's output for documents of words (see Words), some 200,000 words at once, or one longer document."""
+        embedded = embed(self.table, rows)
+        out, at, n = np.zeros(len(cuts) - 1), 0, len(cuts) - 1
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + 200_000, "right")) - 1)
+            words, starts = apart(index[cuts[at] : cuts[end]], cuts[at : end + 1] - cuts[at])
+            h, _ = pooled(words, starts, embedded, self.filters, self.biases)
+            out[at:end] = np.maximum(h, 0).reshape(end - at, -1) @ self.dense.ravel() + self.bias
             at = end
-        return sigmoid(self.slope * np.concatenate(out) + self.intercept) if out else np.zeros(0)
-
-
-def flat(documents: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All rows in one array, documents apart by unlearnt rows, so that no filter spans two; and where each begins."""
-    sizes = np.array([len(d) + _GAP for d in documents])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) + _GAP
-    index = np.zeros(int(sizes.sum()) + 2 * _GAP, np.int64)
-    for at, d in zip(starts, documents, strict=True):
-        index[at : at + len(d)] = d
-    return index, starts
+        return out
 
+    def score(self, texts: list[str | None] | pa.Array, words: Words | None = None) -> np.ndarray:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if self.base is not None or not len(texts):
+            return np.full(len(texts), self.base or 0.0)
+        return sigmoid(self.slope * self.logits(*(words or Words())(texts)) + self.intercept)
 
-def windows(index: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose window of ``width`` has a learnt word, and the document of each; responses elsewhere are zero."""
-    learnt = np.flatnonzero(index)
-    at = np.unique((learnt[:, None] - np.arange(width)).ravel())
-    return at, np.searchsorted(starts, at + width - 1, "right") - 1
 
+def embed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Embeddings of words, after that of the blank word."""
+    out = np.zeros((len(rows) + 1, table.shape[1]), np.float32)
+    for k in range(rows.shape[1]):
+        out[1:] += table[rows[:, k]]
+    return out
 
-def pooled(index: np.ndarray, starts: np.ndarray, embedding: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
-    """The largest response of each filter in each document, or zero if that is larger."""
-    out = []
-    for w in filters:
-        h = np.zeros((len(starts), w.shape[2]))
-        at, owner = windows(index, starts, len(w))
-        if len(at):
-            response = sum(embedding[index[at + k]] @ w[k] for k in range(len(w)))
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            h[owner[first]] = np.maximum(np.maximum.reduceat(response, first, axis=0), 0)
-        out.append(h)
-    return np.concatenate(out, axis=1)
 
+class Sample:
+    """Labelled documents as words: their different words' rows, the words in turn, where each document begins, and labels."""
 
-def rows_of(buckets: np.ndarray, document: np.ndarray) -> np.ndarray:
-    """Embedding rows of a document's buckets; 0 for those that weren't learnt."""
-    if not len(buckets):
-        return np.zeros(len(document), np.int32)
-    at = np.minimum(np.searchsorted(buckets, document), len(buckets) - 1)
-    return np.where(buckets[at] == document, at + 1, 0).astype(np.int32)
+    def __init__(self, rows: np.ndarray, index: np.ndarray, cuts: np.ndarray, y: np.ndarray):
+        self.rows, self.index, self.cuts, self.y = rows, index.astype(np.int32), cuts, y
 
+    def batch(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some documents the rows of their different words, the words with blank ones between documents, and where each begins."""
+        index = np.concatenate([self.index[self.cuts[d] : self.cuts[d + 1]] for d in own])
+        cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.cuts[own + 1] - self.cuts[own])])
+        used, place = np.unique(index, return_inverse=True)
+        return self.rows[used], *apart(place, cuts)
 
-def surprise(positive: np.ndarray, total: np.ndarray, share: float) -> np.ndarray:
-    """How far, in nats, a word's share of positive documents is above the common one: total * KL; 0 below it."""
-    p = np.clip(positive / np.maximum(total, 1), 1e-12, 1 - 1e-12)
-    g = total * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
-    return np.where(p > share, g, 0.0)
+    def first_step(self, docs: np.ndarray) -> np.ndarray:
+        """For each embedding row how far one step of Adagrad from zero takes it, if documents' different words are summed instead of pooled.
 
+        That is the sum of its documents' gradients over the root of their squares' sum, and one.
+        """
+        y = self.y[docs] - self.y[docs].mean()
+        total, square = np.zeros(BUCKETS), np.ones(BUCKETS)
+        for d, g in zip(docs, y, strict=True):
+            own = np.unique(self.rows[np.unique(self.index[self.cuts[d] : self.cuts[d + 1]])])
+            total[own] += g
+            square[own] += g * g
+        total[0] = 0
+        return total / np.sqrt(square)
 
-def train(documents: list[np.ndarray], y: np.ndarray, most_buckets: int = 8_192, epochs: int = 8, batch: int = 64, seed: int = 7) -> ToxicModel:
-    """Fit the network to documents of buckets, by Adam on the log loss.
 
-    Buckets in at least 3 documents whose share of positive ones is surprising are learnt, up to
-    ``most_buckets``; other words have a zero embedding. The first dimension starts from how far the
-    surprise is beyond what chance makes of so many words.
-    """
+def train(sample: Sample, docs: np.ndarray, epochs: int = 4, batch: int = 32, rate: float = 0.01, seed: int = 7) -> ToxicModel:
+    """Fit the network to some of the sample's documents: a first step from zero embeddings, then Adam on the log loss of the pooled network."""
     rng = np.random.default_rng(seed)
-    distinct = [np.unique(d[d >= 0]) for d in documents]
-    buckets, where = np.unique(np.concatenate(distinct), return_inverse=True)
-    total = np.bincount(where, minlength=len(buckets))
-    positive = np.bincount(where, np.repeat(y, [len(d) for d in distinct]), minlength=len(buckets))
-    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-    g = surprise(positive, total, share)
-    chance = np.log(max(int((total >= 3).sum()), 2))
-    keep = np.flatnonzero((total >= 3) & (g > 3))
-    if len(keep) > most_buckets:
-        keep = np.sort(keep[np.lexsort((keep, -total[keep], -g[keep]))[:most_buckets]])
-    buckets, g = buckets[keep], g[keep]
-    embedding = np.zeros((len(buckets) + 1, DIMENSIONS))
-    embedding[1:] = rng.normal(0, 0.02, (len(buckets), DIMENSIONS))
-    embedding[1:, 0] += np.clip((g - chance) / 4, 0, 2)
-    filters = [rng.normal(0, 0.1, (w, DIMENSIONS, FILTERS)) for w in WIDTHS]
-    for f in filters:
-        f[:, 0, : FILTERS // 2] += 0.7
-    dense, bias = np.full(FILTERS * len(WIDTHS), 0.15), np.array([np.log(share / (1 - share)) - 0.3])
-    dense[np.concatenate([np.arange(FILTERS) >= FILTERS // 2] * len(WIDTHS))] = 0.0
-    values = [embedding, *filters, dense, bias]
+    share = min(max(float(sample.y[docs].mean()), 1e-3), 1 - 1e-3)
+    filters = [rng.normal(0, 0.3, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
+    biases = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
+    dense = np.full((len(WIDTHS), LARGEST, FILTERS), 0.1, np.float32)
+    bias = np.array([np.log(share / (1 - share))], np.float32)
+    # The gradient of a word's embedding has one direction before the first step: that of all filters' taps, weighed by the dense layer.
+    way = sum(taps.sum(axis=(0, 2)) for taps in filters)
+    step = sample.first_step(docs)
+    table = (0.1 * step[:, None] * (way / np.linalg.norm(way))).astype(np.float32)
+    values = [*filters, *biases, dense, bias]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
-    rows = [rows_of(buckets, d) for d in documents]
-    step = 0
+    m_table, s_table = np.zeros_like(table), np.zeros(BUCKETS, np.float32)
+    at = 0
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), batch):
-            own = order[at : at + batch]
-            index, starts = flat([rows[i] for i in own])
-            grads = gradients(index, starts, y[own], values)
-            step += 1
+        order = rng.permutation(docs)
+        for k in range(0, len(order), batch):
+            own = order[k : k + batch]
+            rows, words, starts = sample.batch(own)
+            grads, at_rows, d_rows = gradients(words, starts, rows, sample.y[own], table, filters, biases, dense, bias)
+            at += 1
             for v, (m, s), d in zip(values, moments, grads, strict=True):
                 m += 0.1 * (d - m)
                 s += 0.01 * (d * d - s)
-                v -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
-            embedding[0] = 0
-    return ToxicModel(buckets, embedding, filters, dense, float(bias[0]))
-
-
-def gradients(index: np.ndarray, starts: np.ndarray, y: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
-    """Gradients of the mean log loss; the largest responses alone pass it back."""
-    embedding, *filters, dense, bias = values
-    best, chosen = [], []
-    for w in filters:
-        h, top = np.zeros((len(starts), FILTERS)), np.zeros((len(starts), FILTERS), np.int64)
-        at, owner = windows(index, starts, len(w))
-        if len(at):
-            response = sum(embedding[index[at + k]] @ w[k] for k in range(len(w)))
-            cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            for a, b in zip(cut, np.r_[cut[1:], len(at)], strict=True):
-                k = response[a:b].argmax(axis=0)
-                h[owner[a]], top[owner[a]] = response[a + k, np.arange(FILTERS)], at[a + k]
-        best.append(h)
-        chosen.append(top)
-    h = np.concatenate(best, axis=1)
-    p = sigmoid(np.maximum(h, 0) @ dense + bias[0])
-    d = (p - y) / len(y)
-    d_dense = np.maximum(h, 0).T @ d + 1e-4 * dense
-    d_h = np.outer(d, dense) * (h > 0)
-    d_embedding, d_filters = 1e-5 * embedding, []
-    for k, (w, top) in enumerate(zip(filters, chosen, strict=True)):
-        g = d_h[:, k * FILTERS : (k + 1) * FILTERS]
-        d_w = 1e-4 * w
-        for tap in range(len(w)):
-            at = index[top + tap]
-            d_w[tap] += np.einsum("bf,bfd->df", g, embedding[at])
-            np.add.at(d_embedding, at.ravel(), (g[:, :, None] * w[tap].T[None]).reshape(-1, DIMENSIONS))
-        d_filters.append(d_w)
-    return [d_embedding, *d_filters, d_dense, np.array([d.sum()])]
+                v -= rate * (m / (1 - 0.9**at)) / (np.sqrt(s / (1 - 0.99**at)) + 1e-6)
+            # Rows that a batch doesn't touch stay as they are; a row's rate falls with all its gradients so far.
+            s_table[at_rows] += (d_rows * d_rows).sum(axis=1)
+            m_table[at_rows] = 0.5 * m_table[at_rows] + d_rows
+            table[at_rows] -= 5 * rate * m_table[at_rows] / np.sqrt(s_table[at_rows] + 1e-4)[:, None]
+    return ToxicModel(table, filters, biases, dense, float(bias[0]))
+
+
+def gradients(words: np.ndarray, starts: np.ndarray, rows: np.ndarray, y: np.ndarray, table: np.ndarray, filters: list[np.ndarray], biases: list[np.ndarray], dense: np.ndarray, bias: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Gradients of the mean log loss (of filters, biases, dense layer and its bias; then of the embedding rows that have one); the chosen windows alone pass it back."""
+    embedded = embed(table, rows)
+    h, chosen = pooled(words, starts, embedded, filters, biases)
+    live = np.maximum(h, 0)
+    p = sigmoid(live.reshape(len(y), -1) @ dense.ravel() + bias[0])
+    d = ((p - y) / len(y)).astype(np.float32)
+    d_dense = np.tensordot(d, live, axes=1) + 1e-4 * dense
+    d_h = d[:, None, None, None] * dense * (h > 0)
+    d_filters, d_biases = [], []
+    d_words = np.zeros_like(embedded)
+    for w, (taps, top) in enumerate(zip(filters, chosen, strict=True)):
+        g = d_h[:, w]
+        d_taps = 1e-4 * taps
+        for k in range(len(taps)):
+            own = words[top + k]
+            d_taps[k] += np.einsum("dlf,dlfe->ef", g, embedded[own])
+            np.add.at(d_words, own.ravel(), (g[..., None] * taps[k].T).reshape(-1, DIMENSIONS))
+        d_filters.append(d_taps)
+        d_biases.append(g.sum(axis=(0, 1)))
+    used = np.flatnonzero((d_words[1:] != 0).any(axis=1))
+    at_rows, place = np.unique(rows[used], return_inverse=True)
+    d_rows = np.zeros((len(at_rows), DIMENSIONS), np.float32)
+    np.add.at(d_rows, place.reshape(len(used), -1), d_words[1 + used][:, None])
+    if len(at_rows) and at_rows[0] == 0:
+        at_rows, d_rows = at_rows[1:], d_rows[1:]
+    return [*d_filters, *d_biases, d_dense, np.array([d.sum()], np.float32)], at_rows, d_rows
 
 
 def calibrated(scores: np.ndarray, y: np.ndarray, languages: list[str | None], least: int = 20) -> dict[str, float]:
-    """For each language with ``least`` documents of either class the threshold of the best F1 on them, within 0.15 to 0.4; THRESHOLD else."""
+    """For each language with ``least`` documents of either class the threshold of the best F1 on them, the one nearest to THRESHOLD of equals; THRESHOLD else."""
     out: dict[str, float] = {}
     names = np.array([x or "" for x in languages])
     for name in np.unique(names).tolist():
         own = names == name
         if min(y[own].sum(), (1 - y[own]).sum()) < least:
             continue
-        best = max(((2 * ((s := scores[own] >= t) & (y[own] == 1)).sum() / max(s.sum() + y[own].sum(), 1), -abs(t - THRESHOLD), t) for t in np.arange(0.15, 0.41, 0.05)))
+        best = max(((2 * ((s := scores[own] >= t) & (y[own] == 1)).sum() / max(s.sum() + y[own].sum(), 1), -abs(t - THRESHOLD), t) for t in np.arange(0.05, 0.96, 0.05)))
         out[name] = float(best[2])
     return out
 
 
-def fit_network(documents: list[np.ndarray], y: np.ndarray, languages: list[str | None], folds: int = 3) -> ToxicModel:
+def fit_network(sample: Sample, languages: list[str | None], folds: int = 3, epochs: int = 4) -> ToxicModel:
     """A network on all documents, with its curve and thresholds from what networks on the other folds say of each fold."""
+    y, n = sample.y, np.arange(len(sample.y))
     if len(y) == 0 or min(y.sum(), (1 - y).sum()) < 2 * folds:
-        nothing = np.zeros((1, DIMENSIONS))
-        return ToxicModel(np.zeros(0, np.int64), nothing, [np.zeros((w, DIMENSIONS, FILTERS)) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS)), 0.0, base=float((y.sum() + 1) / (len(y) + 2)))
-    fold, out = np.arange(len(y)) % folds, np.zeros(len(y))
+        return ToxicModel(np.zeros((1, DIMENSIONS)), [], [], np.zeros(0), 0.0, base=float((y.sum() + 1) / (len(y) + 2)))
+    out = np.zeros(len(y))
     for k in range(folds):
-        part = train([d for d, f in zip(documents, fold, strict=True) if f != k], y[fold != k])
-        out[fold == k] = part.logits([rows_of(part.buckets, d) for d, f in zip(documents, fold, strict=True) if f == k])
-    model = train(documents, y)
+        part, left = train(sample, n[n % folds != k], epochs), n[n % folds == k]
+        for own in np.array_split(left, max(1, len(left) // 500)):
+            index = np.concatenate([sample.index[sample.cuts[d] : sample.cuts[d + 1]] for d in own])
+            cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(sample.cuts[own + 1] - sample.cuts[own])])
+            used, place = np.unique(index, return_inverse=True)
+            out[own] = part.logits(sample.rows[used], place, cuts)
+    model = train(sample, n, epochs)
     model.slope, model.intercept = platt(out, y)
     model.thresholds = calibrated(sigmoid(model.slope * out + model.intercept), y, languages)
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8_000, most_words: int = 20_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ToxicModel:
-    """Fit on at most ``most`` labelled documents that aren't held out, of ``most_words`` words at most; word buckets alone reach the driver.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8_000, most_words: int = 8_000_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ToxicModel:
+    """Fit on at most ``most`` labelled documents that aren't held out, with ``most_words`` words in all (documents are taken whole).
 
-    Longer documents aren't learnt from, but are scored whole like all others. Languages are used
-    for thresholds only.
+    Only hashes of words reach the driver, 4 bytes a word and 16 for each different one. Languages are
+    used for thresholds only.
     """
-    language = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), language.alias("_lang")).join(F.broadcast(chosen_labels(labels, label, most)), "_id")
+    language = col(lang) if lang in docs.columns else F.lit(None).cast("string")
+    chosen = sampled(docs, labels, label, most, most_words, doc_id, text)
+    rows = docs.select(col(doc_id).alias("_id"), col(text).alias("_text"), language.alias("_lang")).join(F.broadcast(chosen), "_id")
+
+    def setup():
+        words = Words()
+
+        def work(texts: pa.Array) -> dict:
+            rows, index, cuts = words(texts)
+            values = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * _ROWS), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+            used = pa.DictionaryArray.from_arrays(pa.array(index, pa.int32()), values).dictionary_decode() if len(rows) else pa.array([], pa.binary())
+            return {"x": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), used)}
 
-    def work(texts: list) -> dict:
-        words = [(t or "").lower().split() for t in texts]
-        return {"x": pa.array([None if len(w) > most_words else [bucket_of(x) for x in w] for w in words], pa.list_(pa.int32()))}
+        return work
 
-    made = arrow_map(rows, "_text", ["_id", "y", "_lang"], work, "x array<int>").filter("x IS NOT NULL")
+    made = arrow_map(rows, "_text", ["_id", "y", "_lang"], None, "x array<binary>", setup, arrow=True)
     found = made.groupBy("_id").agg(F.max("y").alias("y"), F.min(F.struct("_lang", "x")).alias("v")).select("_id", "y", "v.*").toArrow().sort_by("_id")
     words = found["x"].combine_chunks()
-    values, ends = words.values.to_numpy(), words.offsets.to_numpy()
-    return fit_network([values[p:q] for p, q in zip(ends[:-1], ends[1:], strict=True)], found["y"].to_numpy().astype(np.int64), found["_lang"].to_pylist())
+    encoded = words.flatten().dictionary_encode()
+    table = np.frombuffer(b"".join(encoded.dictionary.to_pylist()), "<i4").reshape(-1, _ROWS)
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return fit_network(Sample(table, encoded.indices.to_numpy(zero_copy_only=False), ends, found["y"].to_numpy().astype(np.int64)), found["_lang"].to_pylist())
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", columns: list[str] | None = None, threshold: float = THRESHOLD, lang: str = "lang") -> DataFrame:
@@ -275,18 +314,19 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text", colum
     rejected. Null and empty texts are texts without words. Rows are kept one for one; columns of the
     new names are replaced.
     """
-    kept = [c for c in (columns or docs.columns) if c not in ("score", "predicted", "rejected")]
+    names = [c for c in (columns or docs.columns) if c not in ("score", "predicted", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(texts: list) -> dict:
-        return {"score": pa.array(shared.value.score(texts))}
+    def setup():
+        words = kept(("words",), Words)
+        return lambda texts: {"score": pa.array(shared.value.score(texts, words))}
 
-    scored = arrow_map(docs, text, kept, work, "score double")
+    scored = arrow_map(docs, text, names, None, "score double", setup, arrow=True)
     limit = F.lit(threshold)
-    if lang in kept and model.thresholds:
+    if lang in names and model.thresholds:
         for name, value in model.thresholds.items():
-            limit = F.when(F.coalesce(F.col(lang), F.lit("")) == name, value).otherwise(limit)
-    return scored.select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= limit).cast("int").alias("rejected"))
+            limit = F.when(F.coalesce(col(lang), F.lit("")) == name, value).otherwise(limit)
+    return scored.select(*(col(c) for c in names), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= limit).cast("int").alias("rejected"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

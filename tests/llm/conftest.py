@@ -13,7 +13,7 @@ def odd(spark):
         (8, "日本語 テスト \U0001f600 naïve café ▁▁ \x00 end", "ja", "src3"), (9, "a <|endoftext|> b<|endoftext|></s>", "en", "src4"), (10, "   leading and trailing\n\n\n", "en", "src5"), (11, "don't it's 'll 1234567890 !!!???", "en", "src6"),
     ]
     schema = "doc_id long, text string, lang string, source string"
-    return spark.createDataFrame(rows, schema).selectExpr("*", "1 AS score", "'x' AS fp", "7 AS n_tokens", "5 AS predicted", "3 AS `group`", "2 AS y", "true AS query").repartition(3)
+    return spark.createDataFrame(rows, schema).selectExpr("*", "1 AS score", "'x' AS fp", "7 AS n_tokens", "5 AS predicted", "3 AS `group`", "2 AS y", "true AS query", "4 AS _text", "5 AS _domain", "6 AS mix_other", "7 AS mix_part", "8 AS _key", "9 AS _range", "1 AS _id", "2 AS _hash", "3 AS _rows", "4 AS _own_hash", "5 AS tokens", "6 AS `a.b`", "7 AS `row`", "8 AS own_id", "'x' AS domain", "9 AS `key`", "1 AS `range`").repartition(3)
 
 
 @pytest.fixture(scope="session")
