@@ -156,16 +156,26 @@ class IdEncoder:
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.ranks = MergeRanks(blob)
         self.ranks.ranks = {}  # the library has its own
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(self.ranks.symbols)})
+        self.space = self.ranks.symbols[32]
         self.table = ValueTable(self.compute)
 
     def compute(self, new: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(new), 4096):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-            ends = [4 * n for n in accumulate(map(len, ids), initial=0)]
-            out += [flat[a:b] for a, b in pairwise(ends)]
-        return out
+        """Ids of chunks: a single word goes straight to the library's model, others through all of its pipeline."""
+        ids: list[list[int]] = [[]] * len(new)
+        tokenize, space, letters, rest = self.tokenizer.model.tokenize, self.space, self.letters, []
+        for k, chunk in enumerate(new):
+            if chunk[0] == " " and chunk[1:].isalpha():
+                word = space + chunk[1:] if chunk.isascii() else chunk.encode().decode("latin-1").translate(letters)
+                ids[k] = [t.id for t in tokenize(word)]
+            else:
+                rest.append(k)
+        for at in range(0, len(rest), 4096):
+            own = rest[at : at + 4096]
+            for k, e in zip(own, self.tokenizer.encode_batch_fast([new[k] for k in own], add_special_tokens=False), strict=True):
+                ids[k] = e.ids
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        return [flat[a:b] for a, b in pairwise(4 * n for n in accumulate(map(len, ids), initial=0))]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin (and the end)."""

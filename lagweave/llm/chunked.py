@@ -37,7 +37,7 @@ class Chunks:
         offsets = np.concatenate([at, np.array([len(data)], np.int32)])
         encoded = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
         self.index = encoded.indices.to_numpy(zero_copy_only=False)
-        self.keys: list[str] = encoded.dictionary.to_pylist()
+        self.keys: list[str] = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.first = np.searchsorted(at, ends)
 
     def totals(self, values: list[int]) -> np.ndarray:
