@@ -1,5 +1,7 @@
 """Ops 2, 5 and 6 against brute force and SQL."""
 
+import math
+
 import duckdb
 import numpy as np
 import pytest
@@ -103,13 +105,16 @@ def test_components_of_chains_and_loops(spark):
 
 
 def brute_top(rows, k, every):
-    fine = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and len(v) == 4]
+    fine = [(i, tuple(max(-(2**50), min(2**50, math.floor(64 * x))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted({i for i, _ in fine if i % every == 0}):
-        own = max((tuple(v) for i, v in fine if i == q))
-        scores = sorted(((-int(np.dot(own, v)), i) for i, v in fine if i != q))[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
-    return sorted(out)
+    for q, n in {(i, len(v)) for i, v in fine if i % every == 0}:
+        own = max(v for i, v in fine if i == q and len(v) == n)
+        scores = [(-sum(a * b for a, b in zip(own, v)), i) for i, v in fine if i != q and len(v) == n]
+        out += [(q, s, i) for s, i in sorted(scores)[:k]]
+    ranked = []
+    for q in {q for q, _, _ in out}:
+        ranked += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(sorted((s, i) for p, s, i in out if p == q)[:k])]
+    return sorted(ranked)
 
 
 def test_op6_rows(spark, monkeypatch):
@@ -117,8 +122,9 @@ def test_op6_rows(spark, monkeypatch):
     monkeypatch.setattr(bitslices, "BLOCK_QUERIES", 4)
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in np.round(rng.normal(0, 0.4, 4), 1)]) for i in range(300)]
-    rows += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(300, 420)] + [(500, None), (None, [0.1] * 4), (520, [None, 0.1, 0.1, 0.1]), (540, [float("nan")] * 4), (560, [float("inf"), 0.0, 0.0, 0.0]), (580, [0.1, 0.2]), (7, [0.9] * 4), (20, [-0.7] * 4), (600, [0.0] * 4)]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS v", "3 AS score", "4 AS rank")
+    rows += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(300, 420)] + [(500, None), (None, [0.1] * 4), (520, [None, 0.1, 0.1, 0.1]), (540, [float("nan")] * 4), (560, [float("inf"), 0.0, 0.0, 0.0]), (7, [0.9] * 4), (20, [-0.7] * 4), (600, [0.0] * 4)]
+    rows += [(580, [0.1, 0.2]), (581, [0.3, 0.1]), (582, [0.3, 0.1]), (620, []), (640, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS v", "3 AS score", "4 AS rank", "5 AS `a.b`")
     got = bitslices.top_inner_products(v.repartition(5), k=7)
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top(rows, 7, 20)
     few = v.filter("vec_id IN (20, 3)")
@@ -126,13 +132,25 @@ def test_op6_rows(spark, monkeypatch):
     assert bitslices.top_inner_products(v.filter("false")).count() == 0
 
 
+def test_op6_takes_large_components(spark):
+    """Sums beyond 64 bits are ranked exactly; scores beyond a long are the nearest long."""
+    rng = np.random.default_rng(10)
+    rows = [(i, [float(x) for x in rng.choice([-1, 1], 5) * 2.0 ** rng.integers(-8, 60, 5)]) for i in range(90)] + [(100, [1e300, -1e300, 0.0, 1e-300, 5.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = bitslices.top_inner_products(v, k=9)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top(rows, 9, 20)
+    small = [(i, [float(x) for x in 2.0 ** rng.integers(25, 33, 3)]) for i in range(50)]
+    got = bitslices.top_inner_products(spark.createDataFrame(small, "vec_id long, embedding array<double>"), k=9)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top(small, 9, 20)
+
+
 def test_slices_add_up():
     rng = np.random.default_rng(3)
     values = rng.integers(-64, 65, (130, 9))
-    index = bitslices.BitSlices(values)
+    index = bitslices.BitSlices.unpack(bitslices.BitSlices.of(np.arange(130), values).pack())
     for query in [*rng.integers(-64, 65, (20, 9)), np.zeros(9, np.int64)]:
         slices, offset = index.sums(query)
-        assert (index.values_at(slices, np.arange(130)) + offset == values @ query).all()
+        assert index.values_at(slices, np.arange(130), offset) == (values @ query).tolist()
 
 
 def plain_mix(rows, mix):
