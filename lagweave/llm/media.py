@@ -13,23 +13,27 @@ from pyspark.sql import functions as F
 from .base import arrow_map, staged
 from .png import cosine_hash, read_png, write_png
 
-#: Payloads are padded to a positive multiple of this many bytes, a row of the image.
+#: Payloads are padded to a positive multiple of this many bytes.
 ROW = 576
 PAD = 255
 
 
+#: Divisors of a row that images are wide: the largest that is at most twice the root of the payload.
+WIDTHS = (576, 288, 192, 144, 96, 72, 48)
+
+
 def to_image(data: bytes) -> np.ndarray:
-    """Rows of 576 bytes, the last one filled up with 255; one row of them for no bytes."""
-    rows = max(1, -(-len(data) // ROW))
-    out = np.full(rows * ROW, PAD, np.uint8)
+    """The bytes and bytes of 255 up to a positive multiple of 576, as rows of a width that makes a not too flat image of it."""
+    size = max(1, -(-len(data) // ROW)) * ROW
+    out = np.full(size, PAD, np.uint8)
     out[: len(data)] = np.frombuffer(data, np.uint8)
-    return out.reshape(rows, ROW)
+    return out.reshape(-1, next(w for w in WIDTHS if w * w <= 4 * size))
 
 
 def store_images(docs: DataFrame, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all but the text, if not given) with n_bytes and media, a PNG of the text's UTF-8 bytes.
 
-    Null texts are empty: one row of padding. Rows are kept one for one; columns of the new names
+    Null texts are empty: 576 bytes of padding. Rows are kept one for one; columns of the new names
     are replaced.
     """
     kept = [c for c in (columns or docs.columns) if c not in ("n_bytes", "media") and (columns or c != text)]
