@@ -1,22 +1,33 @@
-"""Web archives of pages: written with repeated payloads as revisits, and read back (op 1)."""
+"""Web archives of pages: written with repeated payloads as revisits, and read back by ranges (op 1).
+
+Executors reach the shared folder only through Spark, so an archive is a table of blocks: rows of
+archive, size, block (its number) and data. A range read is a join with the blocks that the range is
+in. First the ends of archives are read, for their directories; then the members' headers and the
+indexes; then each record by its own range.
+"""
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import slices, staged
-from .wacz import BytesSource, pack, record_bytes, records_of
+from .base import col, release, slices, staged
+from .wacz import ArchiveError, BytesSource, ZipDirectory, pack, parse_record, record_bytes
 
 LEAST_REVISIT = 1000
+#: Bytes of a block, and of an archive's end that must hold its central directory.
+BLOCK, TAIL = 256 * 1024, 1024 * 1024
 _RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
 def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes: int = 16_000_000) -> DataFrame:
-    """A table of archives (archive) in the shared folder, one WARC record for each row of page_id, url, html.
+    """Archives as a table of blocks in the shared folder, one WARC record for each row of page_id, url, html.
 
     Of records with equal payloads of ``least`` bytes or more, that with the largest page_id is the
     response and the others revisit it; a row that repeats the largest id is a response too. Null
@@ -28,13 +39,20 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").withColumn("digest", F.sha1(body))
     rows = rows.withColumn("size", F.octet_length(body))
     repeated = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # Small payloads never have a partner: their key is null.
-    key = F.when(F.col("size") >= least, F.col("digest"))
+    # Small payloads never have a partner: their keys are like no digest, and spread.
+    key = F.when(F.col("size") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
     marked = rows.withColumn("key", key).join(repeated.withColumnRenamed("digest", "key"), "key", "left")
     revisit = F.col("response").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("response")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, names, size = [], [], 0
+        archive = TaskContext.get().partitionId() << 32
+
+        def blocks() -> pa.RecordBatch:
+            data = pack(records, names)
+            cut = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+            return pa.RecordBatch.from_arrays([pa.array([archive] * len(cut), pa.int64()), pa.array([len(data)] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int64()), pa.array(cut, pa.binary())], names=["archive", "size", "block", "data"])
+
         for part, texts in slices(batches, "html"):
             ids, urls, digests, responses, revisits = (part.column(k).to_pylist() for k in range(5))
             for page, url, digest, response, again, text in zip(ids, urls, digests, responses, revisits, texts, strict=True):
@@ -42,28 +60,125 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes:
                 names.append(page)
                 size += len(records[-1])
                 if size >= archive_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([pack(records, names)], pa.binary())], names=["archive"])
-                    records, names, size = [], [], 0
+                    yield blocks()
+                    records, names, size, archive = [], [], 0, archive + 1
         if records:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(records, names)], pa.binary())], names=["archive"])
+            yield blocks()
+        release()
+
+    made = marked.select("page_id", "url", "digest", "response", revisit.alias("revisit"), "html").mapInArrow(run, "archive long, size long, block long, data binary")
+    return staged(made, "archives")
+
+
+def block_table(archives: DataFrame, archive: str = "archive") -> DataFrame:
+    """Whole archives, one a row of a binary column, as a table of blocks; null ones have none."""
+    rows = archives.select(col(archive).alias("data")).filter("data IS NOT NULL").withColumn("archive", F.monotonically_increasing_id())
+    size = F.octet_length("data").cast("long")
+    last = F.floor((F.greatest(size, F.lit(1)) - 1) / BLOCK)
+    cut = rows.select("archive", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), "data")
+    return cut.withColumn("data", F.expr(f"substring(data, CAST(block * {BLOCK} + 1 AS INT), {BLOCK})"))
+
+
+def read_ranges(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``ranges`` (archive, at, n, and more columns; n above 0) with their bytes, from the blocks that they are in and no others."""
+    first, last = F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("n") - 1) / BLOCK)
+    start = F.greatest(F.col("at") - F.col("block") * BLOCK, F.lit(0))
+    stop = F.least(F.col("at") + F.col("n") - F.col("block") * BLOCK, F.lit(BLOCK))
+    piece: Column = F.substring("data", (start + 1).cast("int"), (stop - start).cast("int"))
+    held = blocks.select("archive", "block", "data")
+    inside = ranges.filter(first == last).withColumn("block", first).join(held, ["archive", "block"]).select(*ranges.columns, piece.alias("bytes"))
+    over = ranges.filter(first < last).withColumn("block", F.explode(F.sequence(first, last))).join(held, ["archive", "block"])
+    over = over.groupBy(*ranges.columns).agg(F.sort_array(F.collect_list(F.struct("block", piece.alias("piece")))).alias("pieces"))
+    whole = F.aggregate("pieces", F.lit(bytearray()), lambda a, x: F.concat(a, x["piece"]))
+    return inside.union(over.select(*ranges.columns, whole.alias("bytes")))
+
+
+class _Parts(BytesSource):
+    """The parts of an archive that are held, by where they begin."""
+
+    def __init__(self, size: int, parts: list[tuple[int, bytes]]):
+        self.size, self.parts = size, parts
 
-    return staged(marked.select("page_id", "url", "digest", "response", revisit.alias("revisit"), "html").mapInArrow(run, "archive binary"), "archives")
+    def read_at(self, at: int, n: int) -> bytes:
+        for start, data in self.parts:
+            if start <= at and at + n <= start + len(data):
+                return data[at - start : at - start + n]
+        raise ArchiveError("a range is outside the archive or the part of it that was read")
 
 
-def read_archives(archives: DataFrame, archive: str = "archive") -> DataFrame:
-    """page_id, url, record_type, payload_bytes, payload_digest, refers_to of every record, read by its range from the archives.
+def _directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From archives' ends: for each member of interest (archive, at, n, name, size): its header for data, all of it for indexes."""
+    for batch in batches:
+        for archive, size, tail in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            members = ZipDirectory(_Parts(size, [(size - len(tail), tail)])).members.values()
+            index = [m for m in members if m.name.startswith("indexes/") and m.name.endswith(".cdxj")]
+            data = [m for m in members if m.name.startswith("archive/") and m.name.endswith(".warc.gz")]
+            if any(m.method for m in index + data):
+                raise ArchiveError("a member is packed, not stored")
+            # A local header's name and extra field can be longer than the directory's: room for both is read before an index.
+            rows = [(archive, m.header, min(30, size - m.header), m.name, m.size, bool(index)) for m in data]
+            rows += [(archive, m.header, min(30 + 2 * 65_535 + m.size, size - m.header), m.name, m.size, True) for m in index]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["archive", "at", "n", "name", "size", "indexed"])
+
+
+def _record_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From an archive's headers and indexes (one row each): (archive, at, n) of every record; of whole members where there is no index."""
+    for batch in batches:
+        for archive, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            starts, rows = {}, []
+            for part in found:
+                head = part["bytes"]
+                if head[:4] != b"PK\3\4" or len(head) < 30:
+                    raise ArchiveError(f"{part['name']} has no local header")
+                part["skip"] = 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+                starts[part["name"]] = part["at"] + part["skip"], part["size"]
+                if not part["indexed"] and part["size"]:
+                    rows.append((archive, part["at"] + part["skip"], part["size"]))
+            for part in found:
+                if part["name"].startswith("indexes/"):
+                    for line in part["bytes"][part["skip"] : part["skip"] + part["size"]].decode().splitlines():
+                        entry = json.loads(line)
+                        start, size = starts[entry["filename"]]
+                        if entry["length"] < 1 or entry["offset"] + entry["length"] > size:
+                            raise ArchiveError("an index leads outside its member")
+                        rows.append((archive, start + entry["offset"], entry["length"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 3)], names=["archive", "at", "n"])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    for batch in batches:
+        rows = []
+        for data in batch.column(0).to_pylist():
+            while data:  # one record, or all of a member
+                one = zlib.decompressobj(31)
+                try:
+                    one.decompress(data)
+                except zlib.error as e:
+                    raise ArchiveError(str(e)) from e
+                r = parse_record(data[: len(data) - len(one.unused_data)] if one.unused_data else data)
+                rows.append((r.page_id, r.url, r.kind, r.payload_bytes, r.payload_digest, r.refers_to))
+                data = one.unused_data
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=[c.split()[0] for c in _RECORDS.split(", ")])
+    release()
+
+
+def record_index(blocks: DataFrame) -> DataFrame:
+    """archive, at, n of every record of archives that are tables of blocks, from their directories and indexes alone. A broken archive ends the job with an ArchiveError."""
+    last = blocks.filter(F.col("block") * BLOCK + F.octet_length("data") > F.col("size") - TAIL)
+    joined = F.aggregate(F.sort_array(F.collect_list(F.struct("block", "data"))), F.lit(bytearray()), lambda a, x: F.concat(a, x["data"]))
+    tails = last.groupBy("archive", "size").agg(joined.alias("tail"))
+    members = staged(tails.mapInArrow(_directories, "archive long, at long, n long, name string, size long, indexed boolean"), "members")
+    parts = read_ranges(blocks, members).groupBy("archive").agg(F.collect_list(F.struct("at", "name", "size", "indexed", "bytes")).alias("parts"))
+    return staged(parts.mapInArrow(_record_ranges, "archive long, at long, n long"), "record-index")
+
+
+def read_archives(blocks: DataFrame) -> DataFrame:
+    """page_id, url, record_type, payload_bytes, payload_digest, refers_to of every record, read by its range from archives that are a table of blocks.
 
     A revisit's length and digest are those its headers keep of the full payload. A broken archive
-    ends the job with an ArchiveError; a null one has no records.
+    ends the job with an ArchiveError.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                if not data.is_valid:
-                    continue
-                rows = [(r.page_id, r.url, r.kind, r.payload_bytes, r.payload_digest, r.refers_to) for r in records_of(BytesSource(data.as_py()))]
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=[c.split()[0] for c in _RECORDS.split(", ")])
-
-    return archives.select(archive).mapInArrow(run, _RECORDS)
+    return read_ranges(blocks, record_index(blocks)).select("bytes").mapInArrow(_records, _RECORDS)
