@@ -65,11 +65,22 @@ def fresh(prefix: str, *taken: str) -> str:
     return prefix
 
 
-def partitions(df: DataFrame, each: int = PARTITION_BYTES) -> int:
-    """Partitions for an explicit deal of ``df``: those of the session, or more where its plan's size asks for them."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def partitions(df: DataFrame, each: int = PARTITION_BYTES, growth: int = 1) -> int:
+    """Partitions for an explicit deal of what ``df`` grows to: those of the session, or more where the tables that it reads are larger."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-size // each)) if size < 1 << 50 else least  # what has no statistics counts as endless
+    return max(least, -(-growth * sum(s for s in sizes if s < 1 << 50) // each))  # what has no statistics counts as endless
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, hot: int = 1000) -> DataFrame:
+    """``rows`` with ``table``'s columns by ``key``; ``table`` has every key once, and in ``n`` how many of the ``total`` rows have it.
+
+    Keys of over a ``hot``-th of all rows, fewer than ``hot`` of them whatever the size, are broadcast:
+    their rows stay where they are, and no task gets more than a ``hot``-th of the rows for one key.
+    """
+    often = F.broadcast(table.filter(F.col(n) * hot > total))
+    return rows.join(often.drop(n), key).unionByName(rows.join(often.select(key), key, "left_anti").join(table.filter(F.col(n) * hot <= total).drop(n), key))
 
 
 _kept: dict = {}

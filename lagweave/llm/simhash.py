@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, col, partitions, staged
+from .base import arrow_map, col, join_spread, partitions, release, staged
 from .graph import components
 
 SEED = 42
@@ -35,22 +35,24 @@ def least_matches(bits: int) -> int:
 
 def fingerprints_of(texts: list[str | None], words: int = 4) -> np.ndarray:
     """SimHash of each text's word shingles (XXH64, seed 42), repeats included; no words: zero."""
-    hashes, sizes = [], []
+    hashes, sizes, held = [], [], 0
     digest = xxhash.xxh64_intdigest
     for text in texts:
         tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if len(tokens) > words:
-            hashes += [digest(s, SEED) for s in map(b" ".join, zip(*(tokens[k:] for k in range(words))))]
-        elif tokens:
-            hashes.append(digest(b" ".join(tokens), SEED))
-        sizes.append(len(hashes))
+            own = np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*(tokens[k:] for k in range(words))))), np.uint64, len(tokens) - words + 1)
+        else:
+            own = np.array([digest(b" ".join(tokens), SEED)] if tokens else [], np.uint64)
+        hashes.append(own)
+        held += len(own)
+        sizes.append(held)
     ends = np.array(sizes, np.int64)
     starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
     out = np.zeros(len(texts), np.uint64)
     filled = np.flatnonzero(ends > starts)
     if not len(filled):
         return out
-    h = np.array(hashes, np.uint64)
+    h = np.concatenate(hashes)
     # Bits are summed in the 8 bytes of a word, which hold runs of 255 hashes, and then over a text's runs.
     per = -(-(ends - starts)[filled] // 255)
     first_run = np.concatenate([np.zeros(1, np.int64), np.cumsum(per)[:-1]])
@@ -200,7 +202,7 @@ def links(nodes: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
             key = key * 256 + byte[p]
         keys.append(key)
     rows = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(nodes, growth=2 * len(keys))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, f, part in _groups(batches, tile):
@@ -250,14 +252,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     own = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     rows = staged(fingerprints(own.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"], words=words), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
     found = components(links(nodes, bits))
     linked = nodes.join(found.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = linked.join(least, "label").select("fp", "label", "component_id")
-    of_node = nodes.join(known, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+    of_node = nodes.join(known, "fp", "left").select("fp", "n", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+    of_node, total = staged(of_node, "of-node"), rows.count()
     digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return rows.join(of_node, "fp").select("doc_id", digits(F.col("fp")).alias("fingerprint"), "component_id", digits(F.col("label")).alias("group"), "text_hash")
+    return join_spread(rows, of_node, "fp", "n", total).select("doc_id", digits(F.col("fp")).alias("fingerprint"), "component_id", digits(F.col("label")).alias("group"), "text_hash")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
