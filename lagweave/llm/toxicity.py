@@ -277,7 +277,7 @@ def fit_network(sample: Sample, languages: list[str | None], folds: int = 3, epo
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8_000, most_words: int = 8_000_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4_000, most_words: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ToxicModel:
     """Fit on at most ``most`` labelled documents that aren't held out, with ``most_words`` words in all (documents are taken whole).
 
     Only hashes of words reach the driver, 4 bytes a word and 16 for each different one. Languages are
