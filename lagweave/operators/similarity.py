@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -69,18 +71,6 @@ def sections(prints: DataFrame, length: int = 32, step: int = 16) -> DataFrame:
     return means.groupBy(F.col("w").alias("f")).agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "m"))), lambda p: p["m"]).alias("v"))
 
 
-def cross_sums(signal: DataFrame, size: int, gap: int = 2) -> DataFrame:
-    """t, s, xy: sums of products of each frame with every frame at least ``gap`` before it, place by place.
-
-    Only places meet: an equi-join on the place in the frame, whose products are summed before the
-    shuffle.
-    """
-    rows = signal.select(div("n", size).alias("f"), (F.col("n") - div("n", size) * size).alias("i"), "x")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("b.f") + gap <= F.col("a.f")))
-    return pairs.groupBy(F.col("a.f").alias("t"), F.col("b.f").alias("s")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("xy"))
-
-
 def frame_match(signal: DataFrame, size: int, gap: int = 2) -> DataFrame:
     """t, s, ncc: for each whole frame the earlier one of the highest normalised correlation, ties to the earlier.
 
@@ -129,6 +119,60 @@ def align(signal: DataFrame, guesses: DataFrame, size: int, reach: int) -> DataF
     return sums.filter("xx > 0 AND yy > 0").withColumn("ncc", ncc).groupBy("t").agg(F.max_by(F.struct("offset", "ncc"), F.struct("ncc", -F.col("offset"))).alias("b")).select("t", "b.offset", "b.ncc")
 
 
+def align_far(signal: DataFrame, guesses: DataFrame, size: int, reach: int, step: int) -> DataFrame:
+    """``align`` over a wide reach: all lags of the signal summed by ``step`` samples (guesses are in such steps), then ``step`` samples either way of the best."""
+    low = signal.groupBy(div("n", step).alias("n")).agg(F.sum("x").alias("x"))
+    coarse = align(low, guesses, size // step, reach // step)
+    return align(signal, coarse.select("t", (F.col("offset") * step).alias("guess")), size, step)
+
+
+def lag_map(levels: DataFrame, floors: tuple[int, ...], length: int = 32, least: int = 16, block: int = 512) -> DataFrame:
+    """f, least, lag, d: for each frame and each of ``floors`` the lag from that on at which the last ``length`` frames' levels (f, e) differ least.
+
+    d is the root of the mean square difference, to six places, over at least ``least`` frames that
+    are there; ties go to the shorter lag. Levels are kept as arrays of a block with the ``length`` - 1
+    frames before it; a pair of blocks is one row, whose differences are a matrix summed along
+    diagonals, and one row a frame and floor leaves it. The whole is quadratic in frames, as all lags are.
+    """
+    c, back = div("f", block), length - 1
+    dealt = levels.withColumn("b", F.explode(F.array_compact(F.array(c, F.when(F.col("f") - c * block >= block - back, c + 1)))))
+    blocks = dealt.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("f", F.col("e").cast("double").alias("e")))).alias("v")).select("b", F.col("v.f").alias("f"), F.col("v.e").alias("e"))
+    targets = blocks.select(F.col("b").alias("tb"), F.col("f").alias("tf"), F.col("e").alias("te"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("sb"))
+    pairs = targets.join(blocks.select(F.col("b").alias("sb"), F.col("f").alias("sf"), F.col("e").alias("se")), "sb").select("tb", "sb", "tf", "te", "sf", "se")
+
+    def dense(at: int, f: np.ndarray, e: np.ndarray) -> np.ndarray:
+        out = np.full(block + back, np.nan)
+        out[f - (at * block - back)] = e
+        return out
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tb, sb, tf, te, sf, se in zip(*(batch.column(k) for k in range(6)), strict=True):
+                tb, sb = tb.as_py(), sb.as_py()
+                t, s = (dense(b, f.values.to_numpy(), e.values.to_numpy()) for b, f, e in ((tb, tf, te), (sb, sf, se)))
+                square = (t[:, None] - s[None]) ** 2
+                there = ~np.isnan(square)
+                square[~there] = 0
+                total, n = np.zeros((block, block)), np.zeros((block, block), np.int16)
+                for k in range(length):
+                    own = slice(back - k, back - k + block)
+                    total += square[own, own]
+                    n += there[own, own]
+                lag = (tb - sb) * block + np.arange(block)[:, None] - np.arange(block)[None]
+                d = np.where((n >= least) & there[back:, back:], np.round(np.sqrt(total / np.maximum(n, 1)), 6), np.inf)
+                rows = []
+                for floor in floors:
+                    allowed = np.where(lag >= floor, d, np.inf)[:, ::-1]  # of equals the latest source
+                    at = allowed.argmin(axis=1)
+                    found = allowed[np.arange(block), at]
+                    ok = np.flatnonzero(np.isfinite(found))
+                    rows.append((tb * block + ok, np.full(len(ok), floor), lag[ok, block - 1 - at[ok]], found[ok]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["f", "least", "lag", "d"])
+
+    found = pairs.mapInArrow(best, "f long, least long, lag long, d double")
+    return found.groupBy("f", "least").agg(F.min(F.struct("d", "lag")).alias("b")).select("f", "least", "b.lag", "b.d")
+
+
 def roots(links: DataFrame, rounds: int = 64) -> DataFrame:
     """t, root: each target's source replaced by its own source until it has none (links: t, s with s < t).
 

@@ -14,9 +14,9 @@ from .registry import query
 from .search import _KNN, candidates
 
 
-@query("SELECT user_id, bool_and(x * 8 % 4 = 0) AS exact, count(*) AS samples, round(count(*) / 44.0, 6) AS seconds FROM sigu GROUP BY 1", "sigu")
+@query("SELECT user_id, bool_and(x % 4 = 0) AS exact, count(*) FILTER (WHERE x % 4 = 0) AS on_grid, count(*) AS samples, round(count(*) / 44.0, 6) AS seconds FROM sigu GROUP BY 1", "sigu")
 def src_03_exactness(spark, d):
-    return by_user(spark, d).groupBy("user_id").agg(F.bool_and(F.col("x") * 8 % 4 == 0).alias("exact"), F.count("*").alias("samples"), F.round(F.count("*") / F.lit(44.0), 6).alias("seconds"))
+    return by_user(spark, d).groupBy("user_id").agg(F.bool_and(F.col("x") % 4 == 0).alias("exact"), F.count_if(F.col("x") % 4 == 0).alias("on_grid"), F.count("*").alias("samples"), F.round(F.count("*") / F.lit(44.0), 6).alias("seconds"))
 
 
 @query("SELECT n, CAST(greatest(least(floor(x * 3.3 + 0.5), 32767), -32768) AS BIGINT) AS s16, CAST(greatest(least(floor(x * 3.3 * 256 + 0.5), 8388607), -8388608) AS BIGINT) AS s24 FROM sig")
@@ -122,25 +122,10 @@ def pl_03_continuations(spark, d):
     return candidates(spark, d).withColumn("rk", rk).filter("rk <= 2").select((F.col("t") + 1).alias("t"), (F.col("s") + 1).alias("s"), "rk")
 
 
-@query(_K1.replace("WITH d", "WITH RECURSIVE d") + """, g AS (SELECT t, s FROM k WHERE t % 3 = 0), c AS (SELECT t, CAST(1 AS BIGINT) AS depth, s FROM g UNION ALL SELECT c.t, c.depth + 1, g.s FROM c JOIN g ON g.t = c.s)
+@query(_K1.replace("WITH d", "WITH RECURSIVE d") + """, g AS (SELECT t, s FROM k), c AS (SELECT t, CAST(1 AS BIGINT) AS depth, s FROM g UNION ALL SELECT c.t, c.depth + 1, g.s FROM c JOIN g ON g.t = c.s)
 SELECT t, max(depth) AS depth FROM c GROUP BY t""", "fp")
 def pl_13_depth(spark, d):
-    """How long each frame's chain of references is: chains are followed a link a round, all at once."""
-    ready(spark)
-    g = candidates(spark, d, 1).filter("t % 3 = 0").select("t", "s").checkpoint()
-    onward = g.select(F.col("t").alias("s"), F.col("s").alias("next"))
-    front, known, depth = g, g.select("t", F.lit(1).cast("long").alias("depth")), 1
-    while True:
-        front = front.join(onward, "s").select("t", F.col("next").alias("s")).checkpoint()
-        if front.isEmpty():
-            return known.groupBy("t").agg(F.max("depth").alias("depth"))
-        depth += 1
-        known = known.unionByName(front.select("t", F.lit(depth).cast("long").alias("depth")))
-
-
-@query()
-def pl_13_depth_all(spark, d):
-    """How long each frame's chain of references is, over all frames' links; pl_13_depth has every third frame's only."""
+    """How long each frame's chain of references is, over all frames' links."""
     ready(spark)
     return depths(candidates(spark, d, 1).select("t", "s"))
 

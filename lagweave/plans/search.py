@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import planning, similarity
-from ..operators.signals import div, fingerprints, halo, mono, near, owned, stereo
+from ..operators.signals import div, fingerprints, mono, stereo
 from ..sources.shared import ready
 from .registry import query
 
@@ -78,11 +78,6 @@ def jn_08_align(spark, d):
     return similarity.align(s, g, 128, 8)
 
 
-@query("""WITH w AS (SELECT n // 256 AS f, n % 256 AS i, x FROM sig) SELECT a.f AS t, b.f AS s, CAST(sum(a.x * b.x) AS BIGINT) AS xy FROM w a JOIN w b ON a.i = b.i AND b.f + 2 <= a.f GROUP BY ALL""")
-def jn_08_all_pairs_xy(spark, d):
-    return similarity.cross_sums(mono(spark, d), 256)
-
-
 @query(_KNN.format(k=4) + " SELECT a.t, a.s, b.s AS prev_s FROM k a JOIN k b ON b.t = a.t - 1 AND b.s = a.s - 1", "fp")
 def jn_10_continuation(spark, d):
     a = candidates(spark, d).select("t", "s")
@@ -127,19 +122,6 @@ def jn_16_segment_deps(spark, d):
     return candidates(spark, d, 2).select(div("t", 16).alias("seg"), div("s", 16).alias("dep")).filter("seg <> dep").distinct()
 
 
-@query("""WITH e AS (SELECT n // 64 AS f, round(10 * log10(sum(x * x) + 1.0), 6) AS e FROM sig GROUP BY 1), l AS (SELECT unnest([2, 4, 8, 16, 32]) AS lag),
-p AS (SELECT a.f, lag, (a.e - b.e) * (a.e - b.e) AS d FROM e a JOIN l ON true JOIN e b ON b.f = a.f - lag), w AS (SELECT f, lag, round(sqrt(avg(d) OVER v), 6) AS d, count(*) OVER v AS c FROM p WINDOW v AS (PARTITION BY lag ORDER BY f ROWS BETWEEN 31 PRECEDING AND CURRENT ROW))
-SELECT f, arg_min(lag, (d, lag)) AS lag, min(d) AS d FROM w WHERE c >= 16 GROUP BY f""")
-def jn_18_lag_map(spark, d):
-    """The lag at which the last 32 frames' levels differ least, each lag's order in chunks of its own."""
-    e = mono(spark, d).groupBy(div("n", 64).alias("f")).agg(F.round(10 * F.log10(F.sum(F.col("x") * F.col("x")) + 1.0), 6).alias("e"))
-    earlier = e.select(F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), (F.col("f") + k).alias("f"), F.col("e").alias("p")) for k in (2, 4, 8, 16, 32)))).alias("v")).select("v.*")
-    p = e.join(earlier, "f").select("f", "lag", ((F.col("e") - F.col("p")) * (F.col("e") - F.col("p"))).alias("d"))
-    w = Window.partitionBy("chunk", "lag").orderBy("f").rowsBetween(-31, 0)
-    m = owned(halo(p, 31, 0, n="f").withColumns({"m": F.round(F.sqrt(F.avg("d").over(w)), 6), "c": F.count("*").over(w)}), "f", "lag", "m", "c").filter("c >= 16")
-    return m.groupBy("f").agg(F.min(F.struct("m", "lag")).alias("b")).select("f", "b.lag", F.col("b.m").alias("d"))
-
-
 @query("""WITH f AS (SELECT n // 64 AS f, n % 4 AS region, sum(l * r) AS xy, sum(r * r) AS yy FROM sig2 GROUP BY ALL)
 SELECT f, region, CAST(floor(CAST(xy AS DOUBLE) / yy * 2 + 0.5) AS BIGINT) AS g FROM f WHERE yy > 0""", "sig2")
 def jn_24_region_gains(spark, d):
@@ -159,9 +141,3 @@ def sx_01_repeat_map(spark, d):
     w = Window.partitionBy("lag").orderBy("t")
     r = best.withColumn("lag", F.col("t") - F.col("s")).withColumn("_run", F.col("t") - F.row_number().over(w))
     return r.groupBy("lag", "_run").agg(F.min("t").alias("f0"), F.max("t").alias("f1"), F.count("*").alias("len"), F.round(F.max("ncc"), 6).alias("ncc")).drop("_run")
-
-
-@query("SELECT n, x, r FROM (SELECT n, x, x - lag(x) OVER (ORDER BY n) AS r FROM sig) WHERE r = 0")
-def jn_09_still(spark, d):
-    """Samples equal to the one before."""
-    return owned(halo(mono(spark, d), 1, 0).withColumn("r", F.col("x") - F.lag("x").over(near())), "n", "x", "r").filter("r = 0")

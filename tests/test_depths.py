@@ -3,7 +3,7 @@
 import random
 
 from lagweave.operators.similarity import depths
-from lagweave.plans.details import candidates, pl_13_depth_all
+from lagweave.plans.details import candidates, pl_13_depth
 from lagweave.sources.shared import ready
 
 DATA = "/root/testdata/sf0.001"
@@ -27,6 +27,6 @@ def test_chains_of_any_frames(spark):
 
 def test_every_frame_with_a_source_has_its_depth(spark):
     links = {r["t"]: r["s"] for r in candidates(spark, DATA, 1).collect()}
-    rows = pl_13_depth_all(spark, DATA).collect()
+    rows = pl_13_depth(spark, DATA).collect()
     assert len(rows) == len(links) and {t % 3 for t in links} == {0, 1, 2}
     assert {r["t"]: r["depth"] for r in rows} == plain(links)
