@@ -106,9 +106,12 @@ def test_records_without_an_index():
     assert [(r.page_id, r.url, r.payload) for r in got] == [(k, "http://a\r\nb/é", b"x" * k) for k in range(3)]
 
 
-def test_archives_are_read_by_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("tail", [100, 700, 1 << 20])
+def test_archives_are_read_by_ranges(spark, monkeypatch, tail):
     """Whole archives of other writers: with and without an index, with ZIP64, records over several blocks, broken ones."""
     monkeypatch.setattr(webarchives, "BLOCK", 512)
+    monkeypatch.setattr(webarchives, "TAIL", max(tail, 66_000))
+    monkeypatch.setattr(webarchives, "HEAD", 64 if tail > 100 else 0)
     rng = np.random.default_rng(1)
     bodies = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 10, 700, 3000, 5)]
     records = [wacz.record_bytes(k, f"http://a/{k}", x, hashlib.sha1(x).hexdigest(), None, False) for k, x in enumerate(bodies)]
