@@ -95,6 +95,13 @@ def kept(name: tuple, make: Callable[[], object]):
     return _kept[name]
 
 
+def forget() -> None:
+    """Drop what earlier stages kept in this worker."""
+    if _kept:
+        _kept.clear()
+        release()
+
+
 def release() -> None:
     """Give freed memory back to the system, so that a worker that waits for tasks holds only what it keeps."""
     gc.collect()
