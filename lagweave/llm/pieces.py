@@ -153,7 +153,22 @@ class PieceEncoder:
         return pairs.ravel()
 
     def merged(self, text: str) -> list[str]:
-        """Symbols after merging: the pair whose piece has the highest score, leftmost first."""
+        """Symbols after merging: the pair whose piece has the highest score, leftmost first. Short texts are scanned, long ones use a heap."""
+        if len(text) > 40:
+            return self.heap_merged(text)
+        symbols, rank, none = list(text), self.rank.get, len(self.rank)
+        ranks = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            symbols[i] += symbols[i + 1]
+            del symbols[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(symbols[i - 1] + symbols[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(symbols[i] + symbols[i + 1], none)
+        return symbols
+
+    def heap_merged(self, text: str) -> list[str]:
         symbols, rank = list(text), self.rank.get
         n = len(symbols)
         heap = [(r, i, piece) for i, piece in enumerate(map(str.__add__, symbols, symbols[1:])) if (r := rank(piece)) is not None]

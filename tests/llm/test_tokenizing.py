@@ -103,6 +103,12 @@ def mapped_model(keys, strip):
 _MODELS: dict = {}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from(list("▁abethinosl.,é")), max_size=40))
+def test_scans_merge_as_heaps_do(text):
+    assert PIECE_ENCODER.merged(text) == PIECE_ENCODER.heap_merged(text)
+
+
 def test_chunks_join_again():
     for text in ("a b c", "a  b", " a", "a ", "", "a \nb", "\n a", "don't, x"):
         found = chunks(pa.array(["x y", text, None, "z"]))
