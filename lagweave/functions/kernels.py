@@ -6,7 +6,6 @@ from functools import lru_cache
 
 import numpy as np
 
-EDGES_HZ = (200, 500, 1000, 2000, 4000, 8000, 12000)
 #: For qualities 0 to 10 the offset of thresholds in dB and the bandwidth in Hz.
 OFFSET_DB = (12.0, 12.0, 9.0, 7.0, 5.0, 3.0, 1.5, 0.0, -2.0, -4.0, -6.0)
 BANDWIDTH_HZ = (11000, 11000, 12000, 13000, 14000, 15000, 16000, 19000, 19500, 20000, 20500)
@@ -169,17 +168,6 @@ def reflection_lattice(x: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarra
     return a, refl, err / r[0]
 
 
-def noise_words(seed: int, n: int) -> np.ndarray:
-    """n values of a 32-bit xorshift (13, 17, 5), as integers; a zero seed is replaced."""
-    x, out = seed & 0xFFFFFFFF or 0x1234567, np.empty(n, np.int64)
-    for k in range(n):
-        x ^= x << 13 & 0xFFFFFFFF
-        x ^= x >> 17
-        x ^= x << 5 & 0xFFFFFFFF
-        out[k] = x
-    return out
-
-
 def quantise(c: np.ndarray, step: np.ndarray | float, dead: float = 0.62) -> np.ndarray:
     """Rounded multiples of the step; those under ``dead`` are zero."""
     v = c / step

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .kernels import noise_words, reflection_lattice
+from .kernels import reflection_lattice
 
 ORDER, LEVELS = 8, 16
 
@@ -64,11 +64,10 @@ def from_intensity(mid: np.ndarray, position: int) -> tuple[np.ndarray, np.ndarr
 
 
 def noise_band(frame: int, channel: int, band: int, size: int, energy: float) -> np.ndarray:
-    """Noise of the given energy whose words depend on nothing but frame, channel and band."""
-    seed = ((frame + 1) * 0x9E3779B1 ^ (channel + 1) * 0x85EBCA77 ^ (band + 1) * 0xC2B2AE3D) & 0xFFFFFFFF
-    v = (noise_words(seed, size) >> 8 & 0xFFFFFF) / 2**23 - 1
-    power = v @ v
-    return v * np.sqrt(energy / power) if power > 0 else v
+    """Noise of the given energy: uniform values of a counter-based generator whose key is the frame and whose stream is the channel and band."""
+    own = np.random.Generator(np.random.Philox(key=frame, counter=[0, 0, channel, band]))
+    values = own.uniform(-1, 1, size)
+    return values * np.sqrt(energy / max(values @ values, np.finfo(float).tiny))
 
 
 def replicate(c: np.ndarray, first: int, energies: np.ndarray, edges: np.ndarray) -> np.ndarray:

@@ -94,7 +94,7 @@ def fn_16_loudness(spark, d):
 SELECT k + 1, xor(b, (b << 5) & 4294967295) FROM (SELECT k, xor(a, a >> 17) AS b FROM (SELECT k, xor(x, (x << 13) & 4294967295) AS a FROM s WHERE k < 64)))
 SELECT k, x FROM s WHERE k > 0""", "")
 def fn_18_noise(spark, d):
-    """64 words of the 32-bit xorshift, folded in an array."""
+    """64 words of the published 32-bit xorshift generator, folded in an array. Its shifts 13, 17 and 5."""
     low = lambda c: c.bitwiseAND(0xFFFFFFFF)
 
     def step(x):
@@ -249,10 +249,10 @@ def ll_20_many_signals(spark, d):
     return lossless.decode(lossless.encode(by_user(spark, d), by=("user_id",)), by=("user_id",))
 
 
-@query("SELECT n // 4096 AS seg, min(n) AS start, count(*) AS count, true AS smaller FROM sig GROUP BY 1 HAVING count(*) > 100")
+@query("SELECT n // 4096 AS seg, min(n) AS start, count(*) AS count, true AS smaller FROM sig GROUP BY 1")
 def ll_17_segments(spark, d):
     """Coded segments: each is smaller than its samples as 16-bit integers, in which they fit."""
-    return lossless.encode(mono(spark, d)).filter("count > 100").select("seg", "start", "count", (F.octet_length("payload") < 3 * F.col("count")).alias("smaller"))
+    return lossless.encode(mono(spark, d)).select("seg", "start", "count", (F.octet_length("payload") < 3 * F.col("count")).alias("smaller"))
 
 
 @query("""WITH s AS (SELECT n // 4096 AS seg, min(n) AS start, count(*) AS c FROM sig GROUP BY 1)
