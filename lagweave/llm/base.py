@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +124,25 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000
             yield part, found if arrow else found.to_pylist()
 
 
+def runs_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Runs of whole groups of a stream that is sorted by its first column, as lists of columns."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=pa.types.is_integer(c.type)) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))
+        if held and (cut or columns[0][0] != held[-1][0][-1]):
+            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in columns], strict=True)]
+            held, columns = [], [c[cut:] for c in columns]
+        elif cut:
+            yield [c[:cut] for c in columns]
+            columns = [c[cut:] for c in columns]
+        held.append(columns)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def arrow_map(df: DataFrame, text: str, row_columns: list[str], work: Callable[[list], dict] | None, schema: str, setup: Callable | None = None, arrow: bool = False) -> DataFrame:
     """``row_columns`` of ``df`` beside the columns that ``work(texts)`` makes, one value a row.
 

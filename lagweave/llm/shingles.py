@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import col, drop_staged, forget, join_spread, partitions, release, slices, staged
+from .base import col, drop_staged, forget, join_spread, partitions, release, runs_by_key, slices, staged
 from .graph import components
-from .simhash import SEED, one_of_each
+from .simhash import SEED, WIDE, one_of_each, wide_fingerprints, wide_links
 
 #: Postings of up to so many sets give all their pairs; of longer ones the pairs with their first LEADS sets come first.
 SMALL, LEADS = 32, 4
@@ -119,7 +119,8 @@ def _batch(**columns) -> pa.RecordBatch:
 
 def _nodes(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
     keep = {n: part.column(part.schema.get_field_index(n)) for n in part.schema.names if n != "text"}
-    return _batch(**keep, node=pa.array([node_of(s) for s in sets], pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()), sketch=pa.array([sketch_of(s) for s in sets], pa.binary()))
+    words = {f"f{w}": np.ascontiguousarray(v).view(np.int64) for w, v in enumerate(wide_fingerprints(sets).T)}
+    return _batch(**keep, **words, node=pa.array([node_of(s) for s in sets], pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()), sketch=pa.array([sketch_of(s) for s in sets], pa.binary()))
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,25 +133,6 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return shingle[order], np.array([r[1] for r in rows], np.int64)[order]
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Runs of whole groups of a stream that is sorted by its first column, as lists of columns."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        if not len(columns[0]):
-            continue
-        cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))
-        if held and (cut or columns[0][0] != held[-1][0][-1]):
-            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in columns], strict=True)]
-            held, columns = [], [c[cut:] for c in columns]
-        elif cut:
-            yield [c[:cut] for c in columns]
-            columns = [c[cut:] for c in columns]
-        held.append(columns)
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
 def _near_in_size(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
@@ -165,7 +147,7 @@ def _candidates(postings: DataFrame, percent: int, n_parts: int) -> DataFrame:
     """Pairs (a, b) of postings; rows of long postings as (a, key, n) too, b null."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, n in _by_key(batches):
+        for key, node, n in runs_by_key(batches):
             first = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
             key, node, n = key[first], node[first], n[first]
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -194,7 +176,7 @@ def _apart(rows: DataFrame, percent: int, n_parts: int) -> DataFrame:
     """Pairs of long postings (key, label, node, n) whose sets aren't in one component yet."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, label, node, n in _by_key(batches):
+        for key, label, node, n in runs_by_key(batches):
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for start, end in zip(at, np.r_[at[1:], len(key)], strict=True):
                 for k in range(start, end - 1):
@@ -256,16 +238,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, p
     return found
 
 
+def _star(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, component_id (smallest document id reachable over pairs of that similarity) and group.
 
-    One row for each row of ``docs``. Equal sets are one node, those of null and empty texts too. A long
-    posting is first tried against its first LEADS sets; what that leaves in different components is tried pair by pair.
+    One row for each row of ``docs``. Equal sets are one node, those of null and empty texts too. The index of
+    wide SimHashes gives the first links, verified by whole sets; the prefix-filtered join adds those between what
+    they leave in different components, so that none is missed. A long posting of the join is first tried against
+    its first LEADS sets; what that leaves in different components is tried pair by pair.
     """
     own = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
+    wide = [f"f{w}" for w in range(WIDE)]
     id_type = own.schema["doc_id"].dataType.simpleString()
-    rows = staged(_sets(own.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"], words, f"doc_id {id_type}, text_hash long, node long, n long, sketch binary", _nodes), "rows")
-    nodes = staged(rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    rows = staged(_sets(own.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"], words, f"doc_id {id_type}, text_hash long, {', '.join(f'{f} long' for f in wide)}, node long, n long, sketch binary", _nodes), "rows")
+    nodes = staged(rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *(F.first(f).alias(f) for f in ("n", "sketch", *wide))), "nodes")
+    near = staged(wide_links(nodes.select("node", *wide), partitions(own)), "simhash-links")
+    labels = components(_verified(own, near, nodes, words, percent), "simhash-components")
     common, counts = common_shingles(own, words)
 
     def posted(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -278,15 +269,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     postings = _sets(own, [], words, "key long, node long, n long", posted)
     found = staged(_candidates(postings, percent, partitions(own)), "candidates")
-    pairs = staged(found.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    links = _verified(own, pairs, nodes, words, percent)
-    labels = components(links)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    met = found.filter("b IS NOT NULL").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    pairs = staged(met.filter("NOT coalesce(label_a, a) <=> coalesce(label_b, b)").select("a", "b"), "pairs")
+    labels = components(_star(labels).union(_verified(own, pairs, nodes, words, percent)))
     long = found.filter("b IS NULL").select("key", F.col("a").alias("node"), "n")
     named = long.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"), "node", "n")
     mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
     rest = staged(_apart(named.join(mixed, "key").select("key", "label", "node", "n"), percent, partitions(own)).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        labels = components(links.union(_verified(own, rest, nodes, words, percent)), "components-again")
+        labels = components(_star(labels).union(_verified(own, rest, nodes, words, percent)), "components-again")
     of_row = rows.join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("group"))
     of_row = staged(of_row, "groups")
     least = staged(of_row.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, col, join_spread, partitions, release, staged
+from .base import arrow_map, col, join_spread, partitions, release, runs_by_key, staged
 from .graph import components
 
 SEED = 42
@@ -26,6 +26,10 @@ BYTES = 8
 #: Rows of a posting that one task takes; longer postings are dealt out as pairs of such blocks.
 TILE = 4096
 _EACH = 0x0101010101010101
+#: Wide fingerprints: words, positions that are in pairs with each other, positional bytes that linked ones share, and the most bits in which they differ.
+WIDE, GROUP, WIDE_SHARED, WIDE_BITS = 4, 4, 3, 64
+#: Postings of wide fingerprints up to so many rows give all their links.
+WIDE_SMALL = 32
 
 
 def least_matches(bits: int) -> int:
@@ -46,13 +50,16 @@ def fingerprints_of(texts: list[str | None], words: int = 4) -> np.ndarray:
         hashes.append(own)
         held += len(own)
         sizes.append(held)
-    ends = np.array(sizes, np.int64)
+    return _majority(np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.array(sizes, np.int64))
+
+
+def _majority(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each run of hashes that ends at ``ends`` the word of the bits that over half of them have; none: zero."""
     starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(ends), np.uint64)
     filled = np.flatnonzero(ends > starts)
     if not len(filled):
         return out
-    h = np.concatenate(hashes)
     # Bits are summed in the 8 bytes of a word, which hold runs of 255 hashes, and then over a text's runs.
     per = -(-(ends - starts)[filled] // 255)
     first_run = np.concatenate([np.zeros(1, np.int64), np.cumsum(per)[:-1]])
@@ -67,6 +74,19 @@ def fingerprints_of(texts: list[str | None], words: int = 4) -> np.ndarray:
     return out
 
 
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of WIDE words for each set of hashes: SimHashes of it under as many mixes of each hash."""
+    h = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    ends = np.cumsum([len(s) for s in sets], dtype=np.int64)
+    out = np.zeros((len(sets), WIDE), np.uint64)
+    for w in range(WIDE):
+        z = h + np.uint64((w + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, w] = _majority(z ^ (z >> np.uint64(31)), ends)
+    return out
+
+
 def fingerprints(docs: DataFrame, columns: list[str], text: str = "text", words: int = 4) -> DataFrame:
     """``columns`` of ``docs`` with fp, the text's fingerprint as a signed long."""
     return arrow_map(docs, text, columns, lambda texts: {"fp": pa.array(fingerprints_of(texts, words).view(np.int64))}, "fp long")
@@ -242,6 +262,88 @@ def links(nodes: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
     return found.filter("key IS NULL").select("a", "b").union(dealt.select("a", "b"))
 
 
+def _wide_linked(x: np.ndarray) -> np.ndarray:
+    """_linked for rows of differences of wide fingerprints."""
+    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1) == 0).sum(axis=1) >= WIDE_SHARED
+    shared[shared] = np.bitwise_count(x[shared]).sum(axis=1) <= WIDE_BITS
+    return shared
+
+
+_WIDE_PAIRS = list(combinations(range(GROUP), 2))
+#: Of each mask of a group's shared positions, the first pair in it.
+_FIRST = np.array([next((k for k, (i, j) in enumerate(_WIDE_PAIRS) if mask >> i & mask >> j & 1), len(_WIDE_PAIRS)) for mask in range(1 << GROUP)])
+
+
+def _first_posting(x: np.ndarray) -> np.ndarray:
+    """The number of the first posting in which fingerprints of such differences meet, if they meet in any."""
+    masks = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1, GROUP) == 0) @ (1 << np.arange(GROUP))
+    first = _FIRST[masks]
+    at = np.argmax(first < len(_WIDE_PAIRS), axis=1)
+    return at * len(_WIDE_PAIRS) + first[np.arange(len(x)), at]
+
+
+def _wide_forest(f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (numbers) of a posting whose links connect what links in it connect: found breadth first."""
+    if len(f) <= 512:  # most postings have no link at all
+        hit = np.zeros(len(f), bool)
+        for k in range(len(f) - 1):
+            near = np.flatnonzero(_wide_linked(f[k + 1 :] ^ f[k]))
+            hit[near + k + 1] = True
+            hit[k] |= len(near) > 0
+        rest = np.flatnonzero(hit)
+    else:
+        rest = np.arange(len(f))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            seed = queue.pop()
+            hit = _wide_linked(f[rest] ^ f[seed])
+            if hit.any():
+                near = rest[hit]
+                yield np.full(len(near), seed), near
+                queue += near.tolist()
+                rest = rest[~hit]
+
+
+def wide_links(nodes: DataFrame, n_parts: int) -> DataFrame:
+    """Links (a, b) that connect the nodes (columns node, f0, f1, ...) whose wide fingerprints meet in a posting and are alike.
+
+    The index has a posting for every two positions of a group with their bytes. There shared positional bytes
+    are tallied, pairs with fewer than WIDE_SHARED are discarded, and the differing bits of the rest counted.
+    A link comes from the first posting that its pair shares; long postings give spanning forests.
+    """
+    words = [f"f{w}" for w in range(WIDE)]
+    byte = [F.shiftrightunsigned(words[p // BYTES], 8 * (p % BYTES)).bitwiseAND(255) for p in range(WIDE * BYTES)]
+    pairs = [(g + i, g + j) for g in range(0, WIDE * BYTES, GROUP) for i, j in _WIDE_PAIRS]
+    keys = F.array(*((F.lit(k) * 65536 + byte[i] * 256 + byte[j]).cast("long") for k, (i, j) in enumerate(pairs)))
+    rows = nodes.select(F.explode(keys).alias("key"), "node", *words)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, *f in runs_by_key(batches):
+            f = np.stack(f, axis=1).view(np.uint64)
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[at, len(key)])
+            few = np.flatnonzero(np.repeat(size, size) <= WIDE_SMALL)
+            own, found = key[few], []
+            for gap in range(1, WIDE_SMALL):
+                i = np.flatnonzero(own[gap:] == own[:-gap])
+                if not len(i):
+                    break
+                i, j = few[i], few[i + gap]
+                hit = _wide_linked(f[i] ^ f[j])
+                found.append((i[hit], j[hit]))
+            for start, rows_of in zip(at[size > WIDE_SMALL], size[size > WIDE_SMALL], strict=True):
+                found += [(i + start, j + start) for i, j in _wide_forest(f[start : start + rows_of])]
+            if found:
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                first = _first_posting(f[i] ^ f[j]) == key[i] >> 16
+                a, b = node[i[first]], node[j[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        release()
+
+    return rows.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(find, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest document id reachable over links), group (its smallest fingerprint) and text_hash.
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lagweave.llm import queries, shingles
+from lagweave.llm import queries, shingles, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -80,3 +80,50 @@ def test_sketches_keep_no_similar_sets_apart():
         if 40 <= n and k % 9:
             assert not shingles.may_be_alike(shingles.sketch_of(x), shingles.sketch_of(other), len(x), len(other), 80)
     assert kept > 100
+
+
+def edited_texts(rng, n, words, edits):
+    for _ in range(n):
+        text = [f"w{rng.randrange(10_000)}" for _ in range(words)]
+        other = [*text]
+        for _ in range(edits):
+            other[rng.randrange(words)] = "changed"
+        yield " ".join(text), " ".join(other)
+
+
+def test_wide_simhash_index_finds_similar_sets(spark):
+    """The index alone, against brute force: of pairs that are 0.8 alike or more it connects at least 0.9."""
+    rng = random.Random(9)
+    sets = [shingles.shingle_set(t) for n, e in ((60, 1), (200, 3), (400, 8), (1000, 20)) for pair in edited_texts(rng, 60, n, e) for t in pair]
+    alike = [(2 * k, 2 * k + 1) for k in range(len(sets) // 2) if shingles.alike(sets[2 * k], sets[2 * k + 1], 80)]
+    assert len(alike) > 100
+    wide = simhash.wide_fingerprints(sets).view(np.int64)
+    nodes = spark.createDataFrame([(k, *map(int, f)) for k, f in enumerate(wide)], "node long, f0 long, f1 long, f2 long, f3 long")
+    links = [tuple(r) for r in simhash.wide_links(nodes, 3).collect()]
+    assert len(links) == len(set(links)) and all(a < b for a, b in links)
+    assert sum(p in set(links) for p in alike) >= 0.9 * len(alike)
+    assert all(a // 2 == b // 2 for a, b in links)
+
+
+def test_stage_links_by_the_wide_simhash_index(spark, monkeypatch):
+    """Without the join that completes them, the index's links are still those of nearly all near copies."""
+    docs = spark.createDataFrame([(2 * k + i, t, "en", "src1") for k, pair in enumerate(edited_texts(random.Random(5), 80, 300, 3)) for i, t in enumerate(pair)], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(shingles, "_candidates", lambda postings, percent, n_parts: spark.createDataFrame([], "a long, b long, key long, n long"))
+    kept = {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, DATA).collect()}
+    assert {2 * k for k in range(80)} <= kept and len(kept) <= 84
+
+
+@pytest.mark.parametrize("small", [4, 32])
+def test_long_postings_of_wide_fingerprints(spark, monkeypatch, small):
+    """Postings give forests that connect what all their pairs connect, and no link twice."""
+    monkeypatch.setattr(simhash, "WIDE_SMALL", small)
+    rng = np.random.default_rng(small)
+    base = rng.integers(0, 2**63, (3, 4), dtype=np.uint64)
+    f = np.concatenate([base[k] ^ np.where(rng.random((250, 4)) < 0.6, np.uint64(1) << rng.integers(0, 64, (250, 4)).astype(np.uint64), np.uint64(0)) for k in range(3)])
+    f = np.unique(f, axis=0)
+    links = [tuple(r) for r in simhash.wide_links(spark.createDataFrame([(k, *map(int, v)) for k, v in enumerate(f.view(np.int64))], "node long, f0 long, f1 long, f2 long, f3 long"), 3).collect()]
+    root = list(range(len(f)))
+    for a, b in links:
+        root = [root[b] if r == root[a] else r for r in root]
+    of = [int(np.argmin(np.bitwise_count(base ^ v).sum(axis=1))) for v in f]
+    assert len(links) == len(set(links)) and len(set(root)) == 3 == len(set(zip(root, of, strict=True)))
