@@ -264,7 +264,7 @@ def links(nodes: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
 
 def _wide_linked(x: np.ndarray) -> np.ndarray:
     """_linked for rows of differences of wide fingerprints."""
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1) == 0).sum(axis=1) >= WIDE_SHARED
+    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), WIDE * BYTES) == 0).sum(axis=1) >= WIDE_SHARED
     shared[shared] = np.bitwise_count(x[shared]).sum(axis=1) <= WIDE_BITS
     return shared
 
@@ -276,7 +276,7 @@ _FIRST = np.array([next((k for k, (i, j) in enumerate(_WIDE_PAIRS) if mask >> i
 
 def _first_posting(x: np.ndarray) -> np.ndarray:
     """The number of the first posting in which fingerprints of such differences meet, if they meet in any."""
-    masks = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1, GROUP) == 0) @ (1 << np.arange(GROUP))
+    masks = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), WIDE * BYTES // GROUP, GROUP) == 0) @ (1 << np.arange(GROUP))
     first = _FIRST[masks]
     at = np.argmax(first < len(_WIDE_PAIRS), axis=1)
     return at * len(_WIDE_PAIRS) + first[np.arange(len(x)), at]
