@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lagweave.llm import mixing, quality, sentencepieces, shingles, toxicity
-from lagweave.llm.base import col, drop_staged, staged
+from lagweave.llm.base import col, drop_staged, release, staged
 
 #: The corpus keeps 90 of 100 tokens, in one epoch; web weighs half as much again as books and code.
 MIX = mixing.Mix(weights={"domain": {"web": 3, "books": 2, "code": 2, "other": 2}, "lang": {"en": 6, "de": 2, "fr": 2}, "source": {"src0": 8}}, hundredths=90, epochs=1, seed=17)
@@ -23,17 +23,20 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quadratic discriminant scores 0.7 or more, in all their columns; all, if there were too few labels to fit one. A null text is scored as an empty one."""
     model = quality.fit_quality(docs, _labels(spark, sf_dir))
+    release()  # the driver's memory that fitting took, too
     return docs if model.base is not None else _kept(docs, quality.score_quality(_apart(docs), model, text="_text"), "predicted = 1")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the convolutional classifier doesn't reject at their language's threshold, in all their columns; all, if there were too few labels to fit one."""
     model = toxicity.fit_toxicity(docs, _labels(spark, sf_dir))
+    release()
     return docs if model.base is not None else _kept(docs, toxicity.score_toxicity(_apart(docs), model, text="_text", lang="_in_lang"), "rejected = 0")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of documents whose five-word shingles are 0.8 alike or more."""
+    release()
     return shingles.deduplicated(docs, words=5, percent=80)
 
 

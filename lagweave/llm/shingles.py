@@ -127,10 +127,10 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     """Shingles that many documents of the sample have, sorted, and in how many."""
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
     members = _sets(sample, [], words, "shingle long", lambda part, sets: _batch(shingle=np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
-    rows = members.groupBy("shingle").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST).collect()
-    shingle = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    rows = members.groupBy("shingle").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST).toArrow()
+    shingle = rows["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(shingle)
-    return shingle[order], np.array([r[1] for r in rows], np.int64)[order]
+    return shingle[order], rows["count"].to_numpy()[order]
 
 
 def _near_in_size(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -173,20 +173,28 @@ def _candidates(postings: DataFrame, percent: int, n_parts: int) -> DataFrame:
 
 
 def _apart(rows: DataFrame, percent: int, n_parts: int) -> DataFrame:
-    """Pairs of long postings (key, label, node, n) whose sets aren't in one component yet."""
+    """Pairs of long postings (key, label, node, n, sketch) whose sets aren't in one component yet, are near in size and not kept apart by their sketches."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, label, node, n in runs_by_key(batches):
+        for key, label, node, n, sketch in runs_by_key(batches):
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for start, end in zip(at, np.r_[at[1:], len(key)], strict=True):
-                for k in range(start, end - 1):
-                    later = np.searchsorted(label[k:end], label[k], "right") + k
-                    ok = _near_in_size(n[later:end], n[k], percent)
+                held = pa.array(sketch[start:end], pa.binary())
+                most = max(1, 4_000_000 // max(map(len, sketch[start:end])))
+                after = np.searchsorted(n[start:end], 100 * n[start:end] // percent, "right")  # of a row, those that follow it and are near in size end there
+                each = after - np.arange(end - start) - 1
+                of = (np.cumsum(each) - each) // most
+                for rows_of in np.split(np.arange(end - start), np.flatnonzero(np.diff(of)) + 1):
+                    i = np.repeat(rows_of, each[rows_of])
+                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(each[rows_of]) - each[rows_of], each[rows_of])
+                    other = label[start + i] != label[start + j]
+                    i, j = i[other], j[other]
+                    ok = sketches_meet(held.take(pa.array(i)), held.take(pa.array(j)), n[start + i], n[start + j], percent)
                     if ok.any():
-                        b = node[later:end][ok]
-                        yield _pairs(np.full(len(b), node[k]), b)
+                        yield _pairs(node[start + i[ok]], node[start + j[ok]])
+        release()
 
-    return rows.repartition(n_parts, "key").sortWithinPartitions("key", "label").mapInArrow(find, "a long, b long, key long, n long").select("a", "b")
+    return rows.repartition(n_parts, "key").sortWithinPartitions("key", "n").mapInArrow(find, "a long, b long, key long, n long").select("a", "b")
 
 
 def _hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -224,6 +232,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, p
 
     made = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(make, "node long, members binary")
     sets = staged(made.groupBy("node").agg(F.first("members").alias("members")), "sets")
+    shared.destroy()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +285,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     long = found.filter("b IS NULL").select("key", F.col("a").alias("node"), "n")
     named = long.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"), "node", "n")
     mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
-    rest = staged(_apart(named.join(mixed, "key").select("key", "label", "node", "n"), percent, partitions(own)).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    tried = named.join(mixed, "key").join(nodes.select("node", "sketch"), "node").select("key", "label", "node", "n", "sketch")
+    rest = staged(_apart(tried, percent, partitions(own)).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         labels = components(_star(labels).union(_verified(own, rest, nodes, words, percent)), "components-again")
     of_row = rows.join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("group"))

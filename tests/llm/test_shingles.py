@@ -127,3 +127,24 @@ def test_long_postings_of_wide_fingerprints(spark, monkeypatch, small):
         root = [root[b] if r == root[a] else r for r in root]
     of = [int(np.argmin(np.bitwise_count(base ^ v).sum(axis=1))) for v in f]
     assert len(links) == len(set(links)) and len(set(root)) == 3 == len(set(zip(root, of, strict=True)))
+
+
+def test_long_postings_give_only_pairs_that_may_be_alike(spark):
+    """1,200 different sets that share a few shingles are no pairs; 10 that are alike to one each are."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 2**64, 10, dtype=np.uint64)
+    sets = [np.unique(np.r_[common, rng.integers(0, 2**64, int(rng.integers(300, 500)), dtype=np.uint64)]) for _ in range(1200)]
+    sets += [np.unique(np.r_[s[:-9], rng.integers(0, 2**64, 9, dtype=np.uint64)]) for s in sets[:10]]
+    rows = [(key, k if k < 1200 else 5000 + k, k, len(s), bytearray(shingles.sketch_of(s))) for key in (7, 8) for k, s in enumerate(sets)]
+    found = shingles._apart(spark.createDataFrame(rows, "key long, label long, node long, n long, sketch binary"), 80, 3)
+    pairs = [tuple(r) for r in found.collect()]
+    assert {(k, 1200 + k) for k in range(10)} <= set(pairs) and len(pairs) <= 100
+    same = spark.createDataFrame([(k, 0, *r) for k, _, *r in rows], "key long, label long, node long, n long, sketch binary")
+    assert shingles._apart(same, 80, 3).isEmpty()
+
+
+def test_postings_without_links(spark):
+    rng = np.random.default_rng(8)
+    f = rng.integers(0, 2**63, (50, 4), dtype=np.int64) & ~0xFFFF
+    rows = lambda n: spark.createDataFrame([(k, *map(int, v)) for k, v in enumerate(f[:n])], "node long, f0 long, f1 long, f2 long, f3 long")
+    assert simhash.wide_links(rows(5), 2).isEmpty() and simhash.wide_links(rows(50), 2).isEmpty() and simhash.wide_links(rows(5).limit(0), 2).isEmpty()
