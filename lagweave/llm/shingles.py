@@ -3,9 +3,9 @@
 Two sets of similarity s or more share at least s times the greater set. So if every set lists its
 members in one common order, and posts the first ``n - ceil(s n) + 1`` of its n members, such a pair
 meets in a posting. The order puts shingles that a sample finds in many documents last, so that common
-lines seldom have postings; any order finds all pairs. Those that meet are first compared by the counts of
-their members in buckets, which bound how far the sets are apart from below, and the rest verified by
-whole sets.
+lines seldom have postings; any order finds all pairs. Those that meet are first compared by a bit for
+each bucket of their members, odd or even, which bound how far the sets are apart from below, and the rest
+verified by whole sets.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .simhash import SEED, WIDE, one_of_each, wide_fingerprints, wide_links
 SMALL, LEADS = 32, 4
 #: One of so many texts is in the sample for the order; shingles of COMMON of them or more, and the MOST commonest such, go last.
 SAMPLE, COMMON, MOST = 8, 8, 65_536
+#: Pairs of a long posting that are tried at a time.
+MOST_PAIRS = 250_000
 #: Slots (a power of two) of the map of sets that take part in a pair.
 SLOTS = 1 << 26
 
@@ -60,42 +62,46 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def sketch_of(members: np.ndarray) -> bytes:
-    """How many members are in each of a power of two of buckets, about 8 a bucket, at least 16 buckets; 255 stands for more."""
-    buckets = max(16, 1 << (len(members) >> 3).bit_length())
-    return np.minimum(np.bincount((members & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+    """A bit for each of a power of two of buckets, 4 to 8 a member and at least 64: whether the members in it are odd in number."""
+    buckets = max(64, 1 << (4 * len(members) - 1).bit_length())
+    odd = np.bincount((members & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
 def may_be_alike(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
-    """False only for sets of ``n`` and ``m`` members that are less alike: their sketches differ by no more than they do."""
-    return bool(_may_be_alike(*(np.frombuffer(v, np.uint8)[None] for v in (x, y)), np.array([n]), np.array([m]), percent)[0])
+    """False only for sets of ``n`` and ``m`` members that are less alike: their sketches differ in no more bits than they do in members."""
+    return bool(_may_be_alike(*(np.frombuffer(v, np.uint64)[None] for v in (x, y)), np.array([n]), np.array([m]), percent)[0])
 
 
 def _may_be_alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """may_be_alike for rows of sketches, each side of one length."""
+    """may_be_alike for rows of sketches' words, each side of one length."""
     if a.shape[1] > b.shape[1]:
         a, b = b, a
-    known = np.ones(len(a), bool)
-    if a.shape[1] < b.shape[1]:  # 255 may stand for more: a folded sum holds only from below then
-        known = (a.max(axis=1) < 255) & (b.max(axis=1) < 255)
-        b = b.reshape(len(b), -1, a.shape[1]).sum(axis=1, dtype=np.int32)
-    apart = np.abs(a.astype(np.int32) - b).sum(axis=1)
-    return ~known | ((100 - percent) * (n + m) >= (100 + percent) * apart)
+    if a.shape[1] < b.shape[1]:  # a bucket of the shorter sketch is several of the longer one
+        b = np.bitwise_xor.reduce(b.reshape(len(b), -1, a.shape[1]), axis=1)
+    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return (100 - percent) * (n + m) >= (100 + percent) * apart
 
 
-def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of a binary column, where each value begins, and its length."""
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(column.buffers()[2], np.uint8), ends[:-1], np.diff(ends)
+def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a column of sketches, where each sketch begins, and its length in words."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) >> 3
+    return np.frombuffer(column.buffers()[2], np.uint64, int(ends[-1])), ends[:-1], np.diff(ends)
 
 
 def sketches_meet(x: pa.Array, y: pa.Array, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """may_be_alike for columns of sketches, taken together by their lengths."""
-    (data_x, at_x, size_x), (data_y, at_y, size_y) = _rows_of(x), _rows_of(y)
+    """may_be_alike for columns of sketches."""
+    return _meet(_words_of(x), _words_of(y), n, m, percent)
+
+
+def _meet(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """may_be_alike for rows of (words, where each sketch begins, its length), taken together by their lengths, some MB at a time."""
+    (data_x, at_x, size_x), (data_y, at_y, size_y) = x, y
     ok = np.zeros(len(n), bool)
     kind = size_x << 32 | size_y
     for k in np.unique(kind):
         own = np.flatnonzero(kind == k)
-        for part in np.array_split(own, -(-len(own) * int((k >> 32) + (k & 0xFFFFFFFF)) // 4_000_000)):
+        for part in np.array_split(own, -(-len(own) * int((k >> 32) + (k & 0xFFFFFFFF)) // 500_000)):
             a, b = (data[at[part][:, None] + np.arange(size)] for data, at, size in ((data_x, at_x, int(k >> 32)), (data_y, at_y, int(k & 0xFFFFFFFF))))
             ok[part] = _may_be_alike(a, b, n[part], m[part], percent)
     return ok
@@ -179,17 +185,16 @@ def _apart(rows: DataFrame, percent: int, n_parts: int) -> DataFrame:
         for key, label, node, n, sketch in runs_by_key(batches):
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for start, end in zip(at, np.r_[at[1:], len(key)], strict=True):
-                held = pa.array(sketch[start:end], pa.binary())
-                most = max(1, 4_000_000 // max(map(len, sketch[start:end])))
+                data, begin, size = _words_of(pa.array(sketch[start:end], pa.binary()))
                 after = np.searchsorted(n[start:end], 100 * n[start:end] // percent, "right")  # of a row, those that follow it and are near in size end there
                 each = after - np.arange(end - start) - 1
-                of = (np.cumsum(each) - each) // most
+                of = (np.cumsum(each) - each) // MOST_PAIRS
                 for rows_of in np.split(np.arange(end - start), np.flatnonzero(np.diff(of)) + 1):
                     i = np.repeat(rows_of, each[rows_of])
                     j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(each[rows_of]) - each[rows_of], each[rows_of])
                     other = label[start + i] != label[start + j]
                     i, j = i[other], j[other]
-                    ok = sketches_meet(held.take(pa.array(i)), held.take(pa.array(j)), n[start + i], n[start + j], percent)
+                    ok = _meet((data, begin[i], size[i]), (data, begin[j], size[j]), n[start + i], n[start + j], percent)
                     if ok.any():
                         yield _pairs(node[start + i[ok]], node[start + j[ok]])
         release()

@@ -148,3 +148,25 @@ def test_postings_without_links(spark):
     f = rng.integers(0, 2**63, (50, 4), dtype=np.int64) & ~0xFFFF
     rows = lambda n: spark.createDataFrame([(k, *map(int, v)) for k, v in enumerate(f[:n])], "node long, f0 long, f1 long, f2 long, f3 long")
     assert simhash.wide_links(rows(5), 2).isEmpty() and simhash.wide_links(rows(50), 2).isEmpty() and simhash.wide_links(rows(5).limit(0), 2).isEmpty()
+
+
+def test_long_postings_of_sets_just_below_the_similarity(spark):
+    """Copies of one text that are 0.6 to 0.75 alike with each other are no pairs, though nearly all were by coarser sketches; 12 that are alike to one each are."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**64, 200, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, 182, replace=False), rng.integers(0, 2**64, 18, dtype=np.uint64)]) for _ in range(300)]
+    sets += [np.unique(np.r_[s[:-8], rng.integers(0, 2**64, 8, dtype=np.uint64)]) for s in sets[:12]]
+    alike = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if shingles.alike(sets[i], sets[j], 80)}
+    rows = [(7, k, k, len(s), bytearray(shingles.sketch_of(s))) for k, s in enumerate(sets)]
+    pairs = {tuple(r) for r in shingles._apart(spark.createDataFrame(rows, "key long, label long, node long, n long, sketch binary"), 80, 2).collect()}
+    assert len(alike) >= 12 and alike <= pairs and len(pairs) <= len(alike) + 450
+
+
+def test_sketches_of_other_lengths():
+    """A sketch that is folded to a shorter one's length keeps no similar sets apart."""
+    rng = np.random.default_rng(12)
+    for n in (14, 15, 16, 120, 127, 128, 1020, 1024):
+        x = rng.integers(0, 2**64, n, dtype=np.uint64)
+        y = np.r_[x, rng.integers(0, 2**64, n // 5, dtype=np.uint64)]
+        a, b = shingles.sketch_of(x), shingles.sketch_of(y)
+        assert shingles.alike(np.sort(x), np.sort(y), 80) and shingles.may_be_alike(a, b, len(x), len(y), 80) and shingles.may_be_alike(b, a, len(y), len(x), 80)
