@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.nearest import nearest
 from .signals import div
 
 #: Fingerprints that meet in one group: a block of targets with a block of sources.
@@ -19,44 +20,47 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def nearest_earlier(prints: DataFrame, k: int, gap: int = 2, keep: Column | None = None, block: int = BLOCK) -> DataFrame:
+def nearest_earlier(prints: DataFrame, k: int, gap: int = 2, keep: Column | None = None, least: int = 2048, most: int = 1 << 16) -> DataFrame:
     """t, s, d, rk: for each frame t the ``k`` nearest frames s with s + ``gap`` < t by squared distance, ties to the earlier.
 
-    Blocks of frames meet in pairs, targets with no later sources. A pair of blocks is a group of its
-    own; within it distances are a matrix, and ``k`` rows a target leave it. ``keep`` restricts both
-    sides, as the onset pool does.
+    Blocks of about as many frames meet in pairs, targets with no later sources: 16 blocks, or less so
+    that one has ``least`` frames, or more so that none has over ``most``. A pair of blocks is a group
+    and a partition of its own; within it ``nearest`` compares matrices, and ``k`` rows a target leave
+    it. ``keep`` restricts both sides, as the onset pool does.
     """
-    rows = prints if keep is None else prints.filter(keep)
-    rows = rows.select("f", "v").withColumn("b", div("f", block))
-    top = rows.agg(F.max("b").cast("int"), F.min("b").cast("int")).first()
-    if top[0] is None:
-        return rows.select(F.col("f").alias("t"), F.col("f").alias("s"), F.lit(0.0).alias("d"), F.lit(0).alias("rk"))
-    targets = rows.withColumn("o", F.explode(F.sequence(F.lit(top[1]), F.col("b").cast("int")))).select(F.col("b").alias("tb"), F.col("o").cast("long").alias("sb"), F.lit(True).alias("target"), "f", "v")
-    sources = rows.withColumn("o", F.explode(F.sequence(F.col("b").cast("int"), F.lit(top[0])))).select(F.col("o").cast("long").alias("tb"), F.col("b").alias("sb"), F.lit(False).alias("target"), "f", "v")
+    rows = (prints if keep is None else prints.filter(keep)).select("f", "v")
+    grid = 1024
+    n, marks = rows.agg(F.count("*"), F.percentile_approx("f", [i / grid for i in range(1, grid)], 16 * grid)).first()
+    blocks = 1
+    while blocks < grid and (n > blocks * most or blocks < 16 and n >= 2 * blocks * least):
+        blocks *= 2
+    cuts = sorted({m for m in (marks or [])[grid // blocks - 1 :: grid // blocks]})
+    top = len(cuts)
+    own = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("f"))) if cuts else F.lit(0)
+    pair = lambda t, s, target: F.struct(t.alias("tb"), s.alias("sb"), F.lit(target).alias("target"))
+    places = F.concat(F.transform(F.sequence(F.lit(0), F.col("b")), lambda o: pair(F.col("b"), o, True)), F.transform(F.sequence(F.col("b"), F.lit(top)), lambda o: pair(o, F.col("b"), False)))
+    dealt = rows.withColumn("b", own).select(F.explode(places).alias("p"), "f", "v").select("p.tb", "p.sb", "p.target", "f", "v")
 
     def best(table: pa.Table) -> pa.Table:
         side = table["target"].to_numpy(zero_copy_only=False).astype(bool)
-        f = table["f"].to_numpy()
-        v = np.stack(table["v"].to_numpy(zero_copy_only=False)) if len(f) else np.zeros((0, 1))
-        order = np.argsort(f[~side], kind="stable")
-        sf, sv = f[~side][order], v[~side][order]
-        out: list[list] = [[], [], []]
-        for t, x in zip(f[side].tolist(), v[side], strict=True):
-            n = int(np.searchsorted(sf, t - gap))
-            if not n:
-                continue
+        f, v = table["f"].to_numpy(), table["v"].combine_chunks()
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(f), -1) if len(f) else np.zeros((0, 1))
+        targets, sources = (m[np.argsort(f[m], kind="stable")] for m in (np.flatnonzero(side), np.flatnonzero(~side)))
+        tf, sf, tv, sv = f[targets], f[sources], x[targets], x[sources]
+        ta, sa = np.ascontiguousarray(tv.T), np.ascontiguousarray(sv.T)
+
+        def exact(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             # Terms are added one attribute after another, as SQL does, so that equal distances are equal everywhere.
-            d = np.zeros(n)
-            for a in range(sv.shape[1]):
-                d += (x[a] - sv[:n, a]) ** 2
-            cut = np.flatnonzero(d <= np.partition(d, min(k, n) - 1)[min(k, n) - 1])
-            cut = cut[np.lexsort((sf[cut], d[cut]))][:k]
-            out[0] += [t] * len(cut)
-            out[1] += sf[cut].tolist()
-            out[2] += d[cut].tolist()
-        return pa.table({"t": pa.array(out[0], pa.int64()), "s": pa.array(out[1], pa.int64()), "d": pa.array(out[2], pa.float64())})
-
-    found = targets.unionByName(sources).groupBy("tb", "sb").applyInArrow(best, "t long, s long, d double")
+            d = np.zeros(len(i))
+            with np.errstate(all="ignore"):
+                for a, b in zip(ta, sa, strict=True):
+                    d += (a[i] - b[j]) ** 2
+            return i, j, d
+
+        i, j, d = nearest(tv, sv, k, np.zeros(len(tf), np.int64), np.searchsorted(sf, tf - gap), exact)
+        return pa.table({"t": pa.array(tf[i], pa.int64()), "s": pa.array(sf[j], pa.int64()), "d": pa.array(d, pa.float64())})
+
+    found = dealt.repartition((top + 1) * (top + 2) // 2, "tb", "sb").groupBy("tb", "sb").applyInArrow(best, "t long, s long, d double")
     rank = F.row_number().over(Window.partitionBy("t").orderBy("d", "s"))
     return found.withColumn("rk", rank).filter(F.col("rk") <= k)
 

@@ -80,8 +80,10 @@ def jn_08_align(spark, d):
 
 @query(_KNN.format(k=4) + " SELECT a.t, a.s, b.s AS prev_s FROM k a JOIN k b ON b.t = a.t - 1 AND b.s = a.s - 1", "fp")
 def jn_10_continuation(spark, d):
-    a = candidates(spark, d).select("t", "s")
-    return a.join(a.select((F.col("t") + 1).alias("t"), (F.col("s") + 1).alias("s"), F.col("s").alias("prev_s")), ["t", "s"])
+    """A pair is there itself and as the one that goes on from the pair before; the search runs once, where a self-join would run it twice."""
+    both = F.array(*(F.struct((F.col("t") + k).alias("t"), (F.col("s") + k).alias("s"), F.lit(k).alias("onward")) for k in (0, 1)))
+    pairs = candidates(spark, d).select(F.inline(both)).groupBy("t", "s").agg(F.min("onward").alias("lo"), F.max("onward").alias("hi"))
+    return pairs.filter("lo < hi").select("t", "s", (F.col("s") - 1).alias("prev_s"))
 
 
 @query(_KNN.replace("WITH d", "WITH RECURSIVE d").format(k=1) + """, r AS (SELECT t, s AS root FROM k UNION SELECT r.t, k.s FROM r JOIN k ON k.t = r.root) SELECT t, min(root) AS root FROM r GROUP BY t""", "fp")
@@ -99,8 +101,8 @@ def jn_12_pairs(spark, d):
 
 @query(_KNN.format(k=4) + ", u AS (SELECT t, s, rk AS cost FROM k UNION ALL SELECT t + 1, s + 1, rk + 1 FROM k) SELECT t, s, CAST(min(cost) AS INTEGER) AS cost FROM u GROUP BY ALL", "fp")
 def jn_13_dedup(spark, d):
-    c = candidates(spark, d).select("t", "s", F.col("rk").alias("cost"))
-    return c.union(c.select(F.col("t") + 1, F.col("s") + 1, F.col("cost") + 1)).groupBy("t", "s").agg(F.min("cost").alias("cost"))
+    both = F.array(*(F.struct((F.col("t") + k).alias("t"), (F.col("s") + k).alias("s"), (F.col("rk") + k).alias("cost")) for k in (0, 1)))
+    return candidates(spark, d).select(F.inline(both)).groupBy("t", "s").agg(F.min("cost").alias("cost"))
 
 
 @query(_KNN.format(k=1) + """, o AS (SELECT t, s, unnest(range(greatest((4 * s + 4) // 4 - 1, 0), (4 * s + 11) // 4 + 1)) AS f FROM (SELECT t, s FROM k)) SELECT f, count(*) AS uses FROM o GROUP BY f""", "fp")
