@@ -14,12 +14,11 @@ PAIRS = 1 << 18
 Exact = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def nearest(x: np.ndarray, y: np.ndarray, k: int, lo: np.ndarray, hi: np.ndarray, exact: Exact, per: int = 1, root: bool = False, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(x: np.ndarray, y: np.ndarray, k: int, lo: np.ndarray, hi: np.ndarray, exact: Exact, root: int = 0, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """i, j, value: for each row x[i] the ``k`` of y[lo[i]:hi[i]] of least value, ties to the lesser j; in the order of i, value and j.
 
     ``exact`` is given i and j and returns those that have a value, with their values: the squared
-    distance of x[i] and y[j], or with ``root`` that of the mean of ``per`` squares, rounded by no more
-    than ``slack``. Distances come from matrix products of 32 bits first (64 where those leave too
+    distance of x[i] and y[j], or with ``root`` the root of that by ``root``, rounded by less than ``slack``. Distances come from matrix products of 32 bits first (64 where those leave too
     many), whose rounding is bounded; each pair that may be among the best by them is given to
     ``exact``. Rows with NaN are given to it with all others.
     """
@@ -51,17 +50,19 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, lo: np.ndarray, hi: np.ndarray
                 open_ = at[own, k - 1] < 0
                 # Of equals the lesser j wins, so nothing further on is better than zero.
                 done = ~open_ & (least <= 0)
+                if done.all():
+                    break
                 for kind in (np.float32, np.float64):
                     score, maybe = (room[r][: len(low) * (b - a)].reshape(len(low), b - a) for r in (kind, bool))
                     np.matmul(left[kind][own], right[kind][:, a:b], out=score)  # what they share, less half of the source's square
                     if allowed is not None:
                         score[~allowed] = -np.inf
                     off = (2 * x.shape[1] + 16) * np.finfo(kind).eps * (un[own] + np.fmax.reduce(vn[a:b])) ** 2 + moved
-                    reach = (np.sqrt(least * per) if root else np.sqrt(least)) / far
+                    reach = (least * np.sqrt(root) if root else np.sqrt(least)) / far
                     if open_.any():
                         kth = np.partition(np.fmax(score[open_], -np.inf), b - a - k, axis=1)[:, b - a - k] if b - a >= k else -np.inf
                         reach[open_] = np.sqrt(np.maximum(uu[own][open_] - 2 * kth, 0) + off[open_])
-                    need = (uu[own] - (reach + slack * np.sqrt(per) / far) ** 2 - off) / 2
+                    need = (uu[own] - (reach + slack * np.sqrt(root) / far) ** 2 - off) / 2
                     need[done] = np.inf
                     np.less(score, need.astype(kind)[:, None], out=maybe)
                     np.logical_not(maybe, out=maybe)

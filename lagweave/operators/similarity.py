@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,32 +20,49 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def nearest_earlier(prints: DataFrame, k: int, gap: int = 2, keep: Column | None = None, least: int = 2048, most: int = 1 << 16) -> DataFrame:
-    """t, s, d, rk: for each frame t the ``k`` nearest frames s with s + ``gap`` < t by squared distance, ties to the earlier.
+def meet(rows: DataFrame, best: Callable[[pa.Table], pa.Table], schema: str, back: int = 0, fewest: int = 2048, most: int = 1 << 16) -> DataFrame:
+    """What ``best`` makes of each pair of a block of targets and one of no later sources.
 
-    Blocks of about as many frames meet in pairs, targets with no later sources: 16 blocks, or less so
-    that one has ``least`` frames, or more so that none has over ``most``. A pair of blocks is a group
-    and a partition of its own; within it ``nearest`` compares matrices, and ``k`` rows a target leave
-    it. ``keep`` restricts both sides, as the onset pool does.
+    Blocks are of about as many rows, in the order of f: 16, or less so that one has ``fewest``, or more
+    so that none has over ``most``. A pair of them is a group and a partition of its own, whose table
+    has tb, sb, target (the side that a row is on), own (not of the ``back`` places before a block) and
+    the rows' columns.
     """
-    rows = (prints if keep is None else prints.filter(keep)).select("f", "v")
     grid = 1024
     n, marks = rows.agg(F.count("*"), F.percentile_approx("f", [i / grid for i in range(1, grid)], 16 * grid)).first()
     blocks = 1
-    while blocks < grid and (n > blocks * most or blocks < 16 and n >= 2 * blocks * least):
+    while blocks < grid and (n > blocks * most or blocks < 16 and n >= 2 * blocks * fewest):
         blocks *= 2
-    cuts = sorted({m for m in (marks or [])[grid // blocks - 1 :: grid // blocks]})
-    top = len(cuts)
-    own = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("f"))) if cuts else F.lit(0)
+    cuts = F.lit(sorted(set((marks or [])[grid // blocks - 1 :: grid // blocks]))).cast("array<bigint>")
+    top = len(set((marks or [])[grid // blocks - 1 :: grid // blocks]))
+    dealt = rows.withColumn("b", F.size(F.filter(cuts, lambda c: c < F.col("f")))).withColumn("own", F.lit(True))
+    if back:
+        copy = F.when(F.col("f") > F.get(cuts, F.col("b")) - back, F.struct((F.col("b") + 1).alias("b"), F.lit(False).alias("own")))
+        dealt = dealt.select(*rows.columns, F.inline(F.array_compact(F.array(F.struct("b", "own"), copy))))
     pair = lambda t, s, target: F.struct(t.alias("tb"), s.alias("sb"), F.lit(target).alias("target"))
     places = F.concat(F.transform(F.sequence(F.lit(0), F.col("b")), lambda o: pair(F.col("b"), o, True)), F.transform(F.sequence(F.col("b"), F.lit(top)), lambda o: pair(o, F.col("b"), False)))
-    dealt = rows.withColumn("b", own).select(F.explode(places).alias("p"), "f", "v").select("p.tb", "p.sb", "p.target", "f", "v")
+    return dealt.select(F.inline(places), "own", *rows.columns).repartition((top + 1) * (top + 2) // 2, "tb", "sb").groupBy("tb", "sb").applyInArrow(best, schema)
+
+
+def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The places of targets and of sources in a table of ``meet``, in the order of f."""
+    target, f = table["target"].to_numpy(zero_copy_only=False).astype(bool), table["f"].to_numpy()
+    targets, sources = (at[np.argsort(f[at], kind="stable")] for at in (np.flatnonzero(target), np.flatnonzero(~target)))
+    return targets, sources
+
+
+def nearest_earlier(prints: DataFrame, k: int, gap: int = 2, keep: Column | None = None, **blocks: int) -> DataFrame:
+    """t, s, d, rk: for each frame t the ``k`` nearest frames s with s + ``gap`` < t by squared distance, ties to the earlier.
+
+    Blocks of frames ``meet`` in pairs; there ``nearest`` compares matrices, and ``k`` rows a target
+    leave it. ``keep`` restricts both sides, as the onset pool does.
+    """
+    rows = (prints if keep is None else prints.filter(keep)).select("f", "v")
 
     def best(table: pa.Table) -> pa.Table:
-        side = table["target"].to_numpy(zero_copy_only=False).astype(bool)
         f, v = table["f"].to_numpy(), table["v"].combine_chunks()
         x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(f), -1) if len(f) else np.zeros((0, 1))
-        targets, sources = (m[np.argsort(f[m], kind="stable")] for m in (np.flatnonzero(side), np.flatnonzero(~side)))
+        targets, sources = sides(table)
         tf, sf, tv, sv = f[targets], f[sources], x[targets], x[sources]
         ta, sa = np.ascontiguousarray(tv.T), np.ascontiguousarray(sv.T)
 
@@ -60,7 +77,7 @@ def nearest_earlier(prints: DataFrame, k: int, gap: int = 2, keep: Column | None
         i, j, d = nearest(tv, sv, k, np.zeros(len(tf), np.int64), np.searchsorted(sf, tf - gap), exact)
         return pa.table({"t": pa.array(tf[i], pa.int64()), "s": pa.array(sf[j], pa.int64()), "d": pa.array(d, pa.float64())})
 
-    found = dealt.repartition((top + 1) * (top + 2) // 2, "tb", "sb").groupBy("tb", "sb").applyInArrow(best, "t long, s long, d double")
+    found = meet(rows, best, "t long, s long, d double", **blocks)
     rank = F.row_number().over(Window.partitionBy("t").orderBy("d", "s"))
     return found.withColumn("rk", rank).filter(F.col("rk") <= k)
 
@@ -130,51 +147,54 @@ def align_far(signal: DataFrame, guesses: DataFrame, size: int, reach: int, step
     return align(signal, coarse.select("t", (F.col("offset") * step).alias("guess")), size, step)
 
 
-def lag_map(levels: DataFrame, floors: tuple[int, ...], length: int = 32, least: int = 16, block: int = 512) -> DataFrame:
+def lag_map(levels: DataFrame, floors: tuple[int, ...], length: int = 32, least: int = 16, **blocks: int) -> DataFrame:
     """f, least, lag, d: for each frame and each of ``floors`` the lag from that on at which the last ``length`` frames' levels (f, e) differ least.
 
     d is the root of the mean square difference, to six places, over at least ``least`` frames that
-    are there; ties go to the shorter lag. Levels are kept as arrays of a block with the ``length`` - 1
-    frames before it; a pair of blocks is one row, whose differences are a matrix summed along
-    diagonals, and one row a frame and floor leaves it. The whole is quadratic in frames, as all lags are.
+    are there; ties go to the shorter lag. Blocks of frames, each with the ``length`` - 1 places before
+    it, ``meet`` in pairs; the last levels of a frame are a row of a matrix for ``nearest``, and no more
+    than one row a frame and floor leaves it. The whole is quadratic in frames, as all lags are.
     """
-    c, back = div("f", block), length - 1
-    dealt = levels.withColumn("b", F.explode(F.array_compact(F.array(c, F.when(F.col("f") - c * block >= block - back, c + 1)))))
-    blocks = dealt.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("f", F.col("e").cast("double").alias("e")))).alias("v")).select("b", F.col("v.f").alias("f"), F.col("v.e").alias("e"))
-    targets = blocks.select(F.col("b").alias("tb"), F.col("f").alias("tf"), F.col("e").alias("te"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("sb"))
-    pairs = targets.join(blocks.select(F.col("b").alias("sb"), F.col("f").alias("sf"), F.col("e").alias("se")), "sb").select("tb", "sb", "tf", "te", "sf", "se")
-
-    def dense(at: int, f: np.ndarray, e: np.ndarray) -> np.ndarray:
-        out = np.full(block + back, np.nan)
-        out[f - (at * block - back)] = e
+
+    def windows(f: np.ndarray, e: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """A row for each place back from the own frames, NaN where no frame is."""
+        out = np.full((length, int(own.sum())), np.nan)
+        for k in range(length):
+            at = np.minimum(np.searchsorted(f, f[own] - k), len(f) - 1)
+            out[k] = np.where(f[at] == f[own] - k, e[at], np.nan)
         return out
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tb, sb, tf, te, sf, se in zip(*(batch.column(k) for k in range(6)), strict=True):
-                tb, sb = tb.as_py(), sb.as_py()
-                t, s = (dense(b, f.values.to_numpy(), e.values.to_numpy()) for b, f, e in ((tb, tf, te), (sb, sf, se)))
-                square = (t[:, None] - s[None]) ** 2
+    def best(table: pa.Table) -> pa.Table:
+        f, e, own = (table[c].to_numpy(zero_copy_only=False) for c in ("f", "e", "own"))
+        own, (targets, sources) = own.astype(bool), sides(table)
+        tw, sw = (windows(f[at], e[at], own[at]) if len(at) else np.zeros((length, 0)) for at in (targets, sources))
+        # Of equals the latest source, so sources are gone through backwards.
+        tf, sf, sw = f[targets][own[targets]], f[sources][own[sources]][::-1], np.ascontiguousarray(sw[:, ::-1])
+
+        def exact(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            total, n = np.zeros(len(i)), np.zeros(len(i), np.int16)
+            for a, b in zip(tw, sw, strict=True):
+                square = (a[i] - b[j]) ** 2
                 there = ~np.isnan(square)
-                square[~there] = 0
-                total, n = np.zeros((block, block)), np.zeros((block, block), np.int16)
-                for k in range(length):
-                    own = slice(back - k, back - k + block)
-                    total += square[own, own]
-                    n += there[own, own]
-                lag = (tb - sb) * block + np.arange(block)[:, None] - np.arange(block)[None]
-                d = np.where((n >= least) & there[back:, back:], np.round(np.sqrt(total / np.maximum(n, 1)), 6), np.inf)
-                rows = []
-                for floor in floors:
-                    allowed = np.where(lag >= floor, d, np.inf)[:, ::-1]  # of equals the latest source
-                    at = allowed.argmin(axis=1)
-                    found = allowed[np.arange(block), at]
-                    ok = np.flatnonzero(np.isfinite(found))
-                    rows.append((tb * block + ok, np.full(len(ok), floor), lag[ok, block - 1 - at[ok]], found[ok]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["f", "least", "lag", "d"])
-
-    found = pairs.mapInArrow(best, "f long, least long, lag long, d double")
-    return found.groupBy("f", "least").agg(F.min(F.struct("d", "lag")).alias("b")).select("f", "least", "b.lag", "b.d")
+                total += np.where(there, square, 0)
+                n += there
+            ok = (n >= least) & ~np.isnan(tw[0][i] - sw[0][j])
+            return i[ok], j[ok], np.round(np.sqrt(total[ok] / n[ok]), 6)
+
+        found, before = set(), None
+        for floor in floors if len(tf) and len(sf) else ():
+            lo = np.searchsorted(-sf, floor - tf)
+            if before is None or (lo != before).any():
+                i, j, d = nearest(tw.T, sw.T, 1, lo, np.full(len(tf), len(sf)), exact, root=length, slack=1e-6)
+                found |= set(zip(tf[i].tolist(), (tf[i] - sf[j]).tolist(), d.tolist(), strict=True))
+            before = lo
+        f, lag, d = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"f": pa.array(f, pa.int64()), "lag": pa.array(lag, pa.int64()), "d": pa.array(d, pa.float64())})
+
+    found = meet(levels.select("f", F.col("e").cast("double").alias("e")), best, "f long, lag long, d double", back=length - 1, **blocks)
+    each = found.groupBy("f").agg(*(F.min(F.when(F.col("lag") >= floor, F.struct("d", "lag"))).alias(f"_{floor}") for floor in floors))
+    rows = F.array(*(F.struct(F.lit(floor).cast("long").alias("least"), F.col(f"_{floor}.lag").alias("lag"), F.col(f"_{floor}.d").alias("d")) for floor in floors))
+    return each.select("f", F.inline(rows)).filter("lag IS NOT NULL")
 
 
 def roots(links: DataFrame, rounds: int = 64) -> DataFrame:

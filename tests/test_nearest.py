@@ -1,10 +1,12 @@
 """The search for nearest earlier frames against plain loops."""
 
+import random
+
 import numpy as np
 import pytest
 
 from lagweave.functions.nearest import nearest
-from lagweave.operators.similarity import nearest_earlier
+from lagweave.operators.similarity import lag_map, nearest_earlier
 from lagweave.plans.catalogue import QUERIES
 
 
@@ -55,7 +57,7 @@ def test_blocks_of_any_ids(spark, step):
     """Blocks are of as many frames wherever their ids are; ids far apart were blocks without number."""
     x = np.random.default_rng(1).integers(0, 9, (300, 5)).astype(float)
     rows = spark.createDataFrame([(i * step, v.tolist()) for i, v in enumerate(x)], "f long, v array<double>")
-    got = sorted((r["t"] // step, r["rk"], r["s"] // step, r["d"]) for r in nearest_earlier(rows, 3, gap=2 * step, least=16).collect())
+    got = sorted((r["t"] // step, r["rk"], r["s"] // step, r["d"]) for r in nearest_earlier(rows, 3, gap=2 * step, fewest=16).collect())
     want, seen = [], {}
     for t, s, d in plain(x, x, 3, np.maximum(np.arange(300) - 2, 0)):
         seen[t] = seen.get(t, 0) + 1
@@ -72,3 +74,27 @@ def test_the_search_runs_once(spark, name):
     """A union or a join of the search with itself ran it twice."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_lags_in_blocks_of_any_size(spark):
+    """Levels with places that no frame has and runs that repeat, against loops over all lags."""
+    rng = random.Random(5)
+    e = {f: round(rng.gauss(80, 1.5), 6) for f in range(400) if f % 97 and not 250 <= f < 256} | {10**10 + f: 80.0 for f in range(40)}
+    e |= {f: e[f - 60] for f in range(320, 380) if f in e and f - 60 in e}
+    want = []
+    for f in sorted(e):
+        ways = []
+        for s in sorted(e):
+            d = [(e[f - k] - e[s - k]) ** 2 for k in range(32) if f - k in e and s - k in e]
+            if s + 2 <= f and len(d) >= 16:
+                total = 0.0
+                for x in d:
+                    total += x
+                ways.append((float(np.round(np.sqrt(total / len(d)), 6)), f - s))
+        for least in (2, 16, 64):
+            if any(lag >= least for _, lag in ways):
+                d, lag = min(w for w in ways if w[1] >= least)
+                want.append((f, least, lag, d))
+    levels = spark.createDataFrame(list(e.items()), "f long, e double")
+    for fewest in (64, 2048):
+        assert sorted((r["f"], r["least"], r["lag"], r["d"]) for r in lag_map(levels, (2, 16, 64), fewest=fewest).collect()) == sorted(want)
