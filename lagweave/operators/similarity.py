@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nearest import nearest
-from .signals import div
+from .signals import CHUNK, div, halo
 
 #: Fingerprints that meet in one group: a block of targets with a block of sources.
 BLOCK = 2048
@@ -127,17 +128,54 @@ def frame_match(signal: DataFrame, size: int, gap: int = 2) -> DataFrame:
 
 
 def align(signal: DataFrame, guesses: DataFrame, size: int, reach: int) -> DataFrame:
-    """t, offset, ncc: for each guess (t: frame, guess: sample) the place within ``reach`` of the guess that matches frame t best.
+    """t, offset, ncc, guess: for each guess (t: frame, guess: sample; one a frame) the place within ``reach`` of the guess that matches frame t best.
 
-    Lags are exploded and joined on the sample's index; sums are exact integers; the smaller offset
-    wins ties. Windows end before the frame begins.
+    Frames are arrays of samples; they and the guesses, with the samples of their frames, meet in the
+    chunk that the guess is in. Sums are exact integers there; lags that are clearly worse than another
+    stay, the few others are rounded and compared. The smaller offset wins ties. Windows end before the
+    frame begins.
     """
-    lags = guesses.withColumn("offset", F.explode(F.sequence(F.col("guess") - reach, F.col("guess") + reach))).filter(F.expr(f"offset >= 0 AND offset + {size} <= t * {size}"))
-    target = signal.select(div("n", size).alias("t"), (F.col("n") - div("n", size) * size).alias("i"), F.col("x").alias("tx"))
-    pairs = lags.join(target, "t").withColumn("n", F.col("offset") + F.col("i")).join(signal.select("n", F.col("x").alias("sx")), "n")
-    sums = pairs.groupBy("t", "offset").agg(F.sum(F.col("tx") * F.col("sx")).alias("xy"), F.sum(F.col("tx") * F.col("tx")).alias("xx"), F.sum(F.col("sx") * F.col("sx")).alias("yy"))
+    frames = signal.groupBy(div("n", size).alias("f")).agg(F.collect_list(F.struct("n", "x")).alias("v")).select("f", F.col("v.n").alias("n"), F.col("v.x").alias("x"))
+    chunk = max(CHUNK // size, reach // size + 2)
+    sources = halo(frames, -(-reach // size), reach // size + 2, chunk, "f").select("chunk", F.col("n").alias("sn"), F.col("x").alias("sx"))
+    targets = guesses.join(frames.withColumnRenamed("f", "t"), "t").select(div("guess", chunk * size).alias("chunk"), "t", "guess", "n", "x")
+
+    def sums(n: np.ndarray, x: np.ndarray, length: int) -> list[np.ndarray]:
+        """How many samples each place has, their sum and that of their squares."""
+        out = [np.zeros(length, np.int64) for _ in range(3)]
+        for total, term in zip(out, (np.ones_like(x), x, x * x), strict=True):
+            np.add.at(total, n, term)
+        return out
+
+    def flat(*columns: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The row, number and value of all samples."""
+        n, x = (c.combine_chunks() for c in columns)
+        rows = np.repeat(np.arange(len(n)), n.value_lengths().to_numpy(zero_copy_only=False))
+        return rows, n.flatten().to_numpy(zero_copy_only=False), pc.fill_null(x.flatten(), 0).to_numpy(zero_copy_only=False)
+
+    def best(targets: pa.Table, sources: pa.Table) -> pa.Table:
+        t, guess = (targets[c].to_numpy() for c in ("t", "guess"))
+        out: list[np.ndarray] = []
+        if len(t) and len(sources):
+            low, places = int(guess.min()) - reach, int(guess.max() - guess.min()) + 2 * reach + size
+            _, n, x = flat(sources["sn"], sources["sx"])
+            near = (n >= low) & (n < low + places)
+            row, tn, tx = flat(targets["n"], targets["x"])
+            tc, t1, t2 = (m.reshape(len(t), size) for m in sums(row * size + tn - t[row] * size, tx, len(t) * size))
+            sc, s1, s2 = (m[(guess - reach - low)[:, None] + np.arange(2 * reach + size)] for m in sums(n[near] - low, x[near], places))
+            lags = np.arange(2 * reach + 1)
+            xy, xx, yy = (np.stack([np.einsum("gi,gi->g", a, b[:, k : k + size]) for k in lags], axis=1) for a, b in ((t1, s1), (t2, sc), (tc, s2)))
+            offset = guess[:, None] - reach + lags
+            ok = (offset >= 0) & (offset + size <= t[:, None] * size) & (xx > 0) & (yy > 0)
+            ncc = np.where(ok, xy / np.sqrt(np.maximum(xx, 1).astype(float) * np.maximum(yy, 1)), -np.inf)
+            g, k = np.nonzero(ok & (ncc >= ncc.max(axis=1, keepdims=True) - 3e-6))
+            out = [t[g], guess[g], offset[g, k], xy[g, k], xx[g, k], yy[g, k]]
+        names = ["t", "guess", "offset", "xy", "xx", "yy"]
+        return pa.table({c: pa.array(m, pa.int64()) for c, m in zip(names, out or [[]] * 6, strict=True)})
+
+    found = targets.groupBy("chunk").cogroup(sources.groupBy("chunk")).applyInArrow(best, "t long, guess long, offset long, xy long, xx long, yy long")
     ncc = F.round(F.col("xy") / F.sqrt(F.col("xx").cast("double") * F.col("yy")), 6)
-    return sums.filter("xx > 0 AND yy > 0").withColumn("ncc", ncc).groupBy("t").agg(F.max_by(F.struct("offset", "ncc"), F.struct("ncc", -F.col("offset"))).alias("b")).select("t", "b.offset", "b.ncc")
+    return found.withColumn("ncc", ncc).groupBy("t").agg(F.max_by(F.struct("offset", "ncc", "guess"), F.struct("ncc", -F.col("offset"))).alias("b")).select("t", "b.offset", "b.ncc", "b.guess")
 
 
 def align_far(signal: DataFrame, guesses: DataFrame, size: int, reach: int, step: int) -> DataFrame:

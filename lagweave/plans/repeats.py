@@ -33,7 +33,7 @@ def _far(spark, d):
 @query(_FAR + ' SELECT t, o AS "offset", ncc FROM far')
 def jn_08_align_far(spark, d):
     """The alignment of each frame within 512 samples of its guess: all lags of the signal summed by eights, then eight samples either way."""
-    return _far(spark, d)
+    return _far(spark, d).drop("guess")
 
 
 @query(_FAR + f""", m AS (SELECT t + 1 AS t, o + 128 AS guess FROM far), {_align_sql("near", "sig", "m", 128, 4)} SELECT t, o AS "offset", o - guess AS drift, ncc FROM near JOIN m USING (t)""")
@@ -41,7 +41,7 @@ def jn_09_drift(spark, d):
     """How far a lineage that goes on from the frame before has drifted: alignment within four samples of where it would go on."""
     s = mono(spark, d)
     onward = _far(spark, d).select((F.col("t") + 1).alias("t"), (F.col("offset") + 128).alias("guess"))
-    return similarity.align(s, onward, 128, 4).join(onward, "t").select("t", "offset", (F.col("offset") - F.col("guess")).alias("drift"), "ncc")
+    return similarity.align(s, onward, 128, 4).select("t", "offset", (F.col("offset") - F.col("guess")).alias("drift"), "ncc")
 
 
 @query("""WITH e AS (SELECT n // 64 AS f, round(10 * log10(sum(x * x) + 1.0), 6) AS e FROM sig GROUP BY 1), p AS (SELECT a.f, a.f - b.f AS lag, (a.e - b.e) * (a.e - b.e) AS d FROM e a JOIN e b ON b.f + 2 <= a.f),

@@ -75,7 +75,7 @@ SELECT t, arg_max(o, (ncc, -o)) AS "offset", max(ncc) AS ncc FROM c GROUP BY t""
 def jn_08_align(spark, d):
     s = mono(spark, d)
     g = s.select(div("n", 128).alias("t")).filter("t >= 3").distinct().withColumn("guess", (F.col("t") - 2) * 128 + 5)
-    return similarity.align(s, g, 128, 8)
+    return similarity.align(s, g, 128, 8).drop("guess")
 
 
 @query(_KNN.format(k=4) + " SELECT a.t, a.s, b.s AS prev_s FROM k a JOIN k b ON b.t = a.t - 1 AND b.s = a.s - 1", "fp")
