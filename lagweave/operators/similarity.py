@@ -21,10 +21,10 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def meet(rows: DataFrame, best: Callable[[pa.Table], pa.Table], schema: str, back: int = 0, fewest: int = 2048, most: int = 1 << 16) -> DataFrame:
+def meet(rows: DataFrame, best: Callable[[pa.Table], pa.Table], schema: str, back: int = 0, fewest: int = 1024, most: int = 1 << 16) -> DataFrame:
     """What ``best`` makes of each pair of a block of targets and one of no later sources.
 
-    Blocks are of about as many rows, in the order of f: 16, or less so that one has ``fewest``, or more
+    Blocks are of about as many rows, in the order of f: 8, or less so that one has ``fewest``, or more
     so that none has over ``most``. A pair of them is a group and a partition of its own, whose table
     has tb, sb, target (the side that a row is on), own (not of the ``back`` places before a block) and
     the rows' columns.
@@ -32,10 +32,10 @@ def meet(rows: DataFrame, best: Callable[[pa.Table], pa.Table], schema: str, bac
     grid = 1024
     n, marks = rows.agg(F.count("*"), F.percentile_approx("f", [i / grid for i in range(1, grid)], 16 * grid)).first()
     blocks = 1
-    while blocks < grid and (n > blocks * most or blocks < 16 and n >= 2 * blocks * fewest):
+    while blocks < grid and (n > blocks * most or blocks < 8 and n >= 2 * blocks * fewest):
         blocks *= 2
-    cuts = F.lit(sorted(set((marks or [])[grid // blocks - 1 :: grid // blocks]))).cast("array<bigint>")
-    top = len(set((marks or [])[grid // blocks - 1 :: grid // blocks]))
+    ends = sorted(set((marks or [])[grid // blocks - 1 :: grid // blocks]))
+    cuts, top = F.lit(ends).cast("array<bigint>"), len(ends)
     dealt = rows.withColumn("b", F.size(F.filter(cuts, lambda c: c < F.col("f")))).withColumn("own", F.lit(True))
     if back:
         copy = F.when(F.col("f") > F.get(cuts, F.col("b")) - back, F.struct((F.col("b") + 1).alias("b"), F.lit(False).alias("own")))
