@@ -7,6 +7,7 @@ from lagweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 NAMES = [
     "pl_21_importance",
+    "jn_12_pairs",
 ]
 
 
