@@ -8,6 +8,7 @@ from lagweave.plans.catalogue import ORACLE_SQL, QUERIES
 NAMES = [
     "pl_21_importance",
     "jn_12_pairs",
+    "jn_10_continuation",
 ]
 
 
