@@ -9,6 +9,7 @@ NAMES = [
     "pl_21_importance",
     "jn_12_pairs",
     "jn_10_continuation",
+    "jn_17_weighted_distance",
 ]
 
 
