@@ -10,6 +10,7 @@ NAMES = [
     "jn_12_pairs",
     "jn_10_continuation",
     "jn_17_weighted_distance",
+    "pl_03_continuations",
 ]
 
 
