@@ -11,6 +11,7 @@ NAMES = [
     "jn_10_continuation",
     "jn_17_weighted_distance",
     "pl_03_continuations",
+    "jn_16_segment_deps",
 ]
 
 
