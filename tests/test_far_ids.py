@@ -12,6 +12,7 @@ NAMES = [
     "jn_17_weighted_distance",
     "pl_03_continuations",
     "jn_16_segment_deps",
+    "pl_13_depth",
 ]
 
 
