@@ -13,6 +13,7 @@ NAMES = [
     "pl_03_continuations",
     "jn_16_segment_deps",
     "pl_13_depth",
+    "prj_09_same_segment",
 ]
 
 
