@@ -14,6 +14,7 @@ NAMES = [
     "jn_16_segment_deps",
     "pl_13_depth",
     "prj_09_same_segment",
+    "pl_20_runs",
 ]
 
 
