@@ -15,6 +15,7 @@ NAMES = [
     "pl_13_depth",
     "prj_09_same_segment",
     "pl_20_runs",
+    "prj_08_final_sources",
 ]
 
 
