@@ -16,6 +16,7 @@ NAMES = [
     "prj_09_same_segment",
     "pl_20_runs",
     "prj_08_final_sources",
+    "pl_02_top_k",
 ]
 
 
