@@ -17,6 +17,7 @@ NAMES = [
     "pl_20_runs",
     "prj_08_final_sources",
     "pl_02_top_k",
+    "jn_11_star_redirect",
 ]
 
 
