@@ -18,6 +18,7 @@ NAMES = [
     "prj_08_final_sources",
     "pl_02_top_k",
     "jn_11_star_redirect",
+    "jn_03_backward_knn",
 ]
 
 
