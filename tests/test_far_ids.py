@@ -19,6 +19,7 @@ NAMES = [
     "pl_02_top_k",
     "jn_11_star_redirect",
     "jn_03_backward_knn",
+    "ag_05_depth_histogram",
 ]
 
 
