@@ -20,6 +20,7 @@ NAMES = [
     "jn_11_star_redirect",
     "jn_03_backward_knn",
     "ag_05_depth_histogram",
+    "jn_04_onset_pool",
 ]
 
 
